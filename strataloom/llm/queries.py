@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataloom.llm.urlfilter import oracle
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -19,6 +21,44 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "fingerprint", "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_simhash": op1_simhash}
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from strataloom.llm.packing import pack
+
+    pieces = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.withColumnRenamed("id", "doc_id")
+
+
+#: Rules of the URL query, as (verdict, rule).
+URL_RULES = [
+    ("allow", "org/"),
+    ("block", "example.org/es/"),
+    ("block", "example.org/en/1"),
+    ("allow", "com/fr/"),
+    ("block", "com/de/"),
+]
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataloom.llm.urlfilter import judge
+
+    bad = F.when((F.col("toxic") == 1) | (F.col("quality") == 0), 1).otherwise(0)
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
+    return judge(table(spark, sf_dir, "pages"), labels, URL_RULES)
+
+
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataloom.llm.pii import find_personal_data
+
+    return find_personal_data(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash": op1_simhash,
+    "op4_packing": op4_packing,
+    "op6_url_filter": op6_url_filter,
+    "op9_personal_data": op9_personal_data,
+}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_url_filter": oracle()}
