@@ -131,10 +131,10 @@ class Model:
         for t in texts:
             words = WORD.findall((t or "").lower())
             starts.append(len(together))
+            together += [""] * PADS  # a text's last windows end in the next one's pads
             together += words
-            together += [""] * (PADS + 1)
             limits.append(self.by_language.get(language(words), self.threshold))
-        index = self._index(together)
+        index = self._index([*together, *[""] * PADS])
         rows = np.concatenate(self._rows)
         self._rows[:] = [rows]
         pooled = self._pool(rows, np.array(index, np.int64), np.array(starts))
@@ -143,9 +143,9 @@ class Model:
     def _pool(self, rows: np.ndarray, index: np.ndarray, starts: np.ndarray, step: int = 1 << 15) -> np.ndarray:
         """Maxima of each text, over pieces of bounded length."""
         out = np.full((len(starts), POOLED), -np.inf, np.float32)
-        for a in range(0, len(index), step):
-            part = index[a : a + step + PADS]
-            z = convolve(rows[part])[: min(step, len(index) - a)]
+        n = len(index) - PADS
+        for a in range(0, n, step):
+            z = convolve(rows[index[a : a + step + PADS]])[: min(step, n - a)]
             first = np.searchsorted(starts, a, side="right") - 1
             last = np.searchsorted(starts, a + len(z), side="left")
             at = np.maximum(starts[first:last] - a, 0)
@@ -194,8 +194,8 @@ def fit(texts: list[str], labels: list[int], seed: int = 0) -> Model:
     pad = len(vocab)
     for _ in range(int(np.clip(20_000 // len(train), 5, 40))):
         for some in np.array_split(rng.permutation(train), max(1, len(train) // batch)):
-            index = np.concatenate([np.append(ids[i], [pad] * (PADS + 1)) for i in some])
-            starts = np.cumsum([0, *(len(ids[i]) + PADS + 1 for i in some)])
+            index = np.concatenate([*(np.append([pad] * PADS, ids[i]) for i in some), [pad] * PADS])
+            starts = np.cumsum([0, *(len(ids[i]) + PADS for i in some)])
             unique, inverse = np.unique(index, return_inverse=True)
             vectors = table[grid[unique]].sum(axis=1) * share[unique, None]
             z = convolve((vectors @ weights).astype(np.float32)[inverse])
@@ -210,7 +210,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 0) -> Model:
             g_weights, at_word, at_grad = np.zeros_like(weights), [], []
             for at in range(len(WIDTHS)):
                 for k, slots, cols in _slots(at):
-                    where = inverse[np.minimum(won[:, cols] + k, len(index) - 1)].ravel()
+                    where = inverse[won[:, cols] + k].ravel()
                     d = delta[:, cols]
                     rest = vectors[where].reshape(*d.shape, DIM)
                     g_weights[:, slots] += np.einsum("bfd,bf->df", rest, d)
