@@ -39,6 +39,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.withColumnRenamed("id", "doc_id")
 
 
+def op5_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataloom.llm.graphdedup import vector_groups
+
+    return vector_groups(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 #: Rules of the URL query, as (verdict, rule).
 URL_RULES = [
     ("allow", "org/"),
@@ -74,9 +80,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_toxicity": op2_toxicity,
     "op4_packing": op4_packing,
+    "op5_vector_dedup": op5_vector_dedup,
     "op6_url_filter": op6_url_filter,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op9_personal_data": op9_personal_data,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_url_filter": oracle()}
+ORACLE_SQL: dict[str, str] = {
+    "op5_vector_dedup": """with recursive
+v as (select vec_id, label, embedding::double[] as x from embeddings where label is not null and embedding is not null
+  and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0 and len(list_filter(embedding, lambda c: c <> 0)) > 0),
+links as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id
+  and len(a.x) = len(b.x) where list_inner_product(a.x, b.x)
+    / (sqrt(list_inner_product(a.x, a.x)) * sqrt(list_inner_product(b.x, b.x))) >= 0.98),
+reach as (select vec_id as a, vec_id as b from embeddings union select r.a, l.b from reach r join links l on r.b = l.a)
+select e.vec_id, (select count(*) from links l where l.a = e.vec_id) as n_links, c.root as component_id,
+  e.vec_id = c.root as kept
+from embeddings e join (select a, min(b) as root from reach group by a) c on c.a = e.vec_id""",
+    "op6_url_filter": oracle(),
+}
