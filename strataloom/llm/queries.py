@@ -70,6 +70,15 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op8_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from strataloom.llm.mergedropout import encode
+
+    found = encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), seed=42, dropout=0.1)
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strataloom.llm.pii import find_personal_data
 
@@ -89,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_vector_dedup": op5_vector_dedup,
     "op6_url_filter": op6_url_filter,
     "op7_suffix_dedup": op7_suffix_dedup,
+    "op8_merge_dropout": op8_merge_dropout,
     "op9_personal_data": op9_personal_data,
     "op10_neighbours": op10_neighbours,
 }
