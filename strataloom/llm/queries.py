@@ -30,6 +30,14 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataloom.llm.quality import score, train
+
+    docs = table(spark, sf_dir, "documents")
+    scorer, *_ = train(docs)
+    return score(docs, scorer).withColumnRenamed("id", "doc_id")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -94,6 +102,7 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_toxicity": op2_toxicity,
+    "op3_quality": op3_quality,
     "op4_packing": op4_packing,
     "op5_vector_dedup": op5_vector_dedup,
     "op6_url_filter": op6_url_filter,
