@@ -32,38 +32,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SCHEMA = "id {}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-CACHED = 150_000
-
-
-class _Remembered(dict):
-    """Values by key; when CACHED are held, those not asked for since the last time are forgotten."""
-
-    def __init__(self, make):
-        self._make, self._old = make, {}
-
-    def __missing__(self, key: str) -> bytes:
-        value = self._old.get(key)
-        if value is None:
-            value = self._make(key)
-        if len(key) < 40:
-            if len(self) >= CACHED:
-                self._old = dict(self)
-                self.clear()
-            self[key] = value
-        return value
 
 
 class ByteBpe:
     """Token ids of a byte-level BPE vocabulary file, as little-endian 16-bit bytes.
 
-    The file's pre-tokeniser never joins a word with what stands before the space in front of it, so a text is cut at
-    spaces and the ids of each word with its space are remembered. They equal those of the file's own library
+    The file's vocabulary is run by the faster of two libraries; the ids equal those of the file's own one
     (tests/llm/test_packing.py holds them against it).
     """
 
-    _TWO_SPACES = re.compile(r" \s|\s | $")
-    _PUNCT = re.compile(r"([!-&(-/:-@\[-`{-~]+|\n)")
-
     def __init__(self, path: str):
         import public_tokenizers
         import tiktoken
@@ -85,28 +62,9 @@ class ByteBpe:
             "file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
         ).encode_ordinary
         self._cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self._words = _Remembered(self._word)
-
-    def _plain(self, text: str) -> bytes:
-        return array("H", self._encode(text)).tobytes()
-
-    def _word(self, word: str) -> bytes:
-        """Ids of one word with its space."""
-        parts = self._PUNCT.split(word)
-        if len(parts) == 1 or "'" in word or "\n\n" in word:
-            return self._plain(word)
-        if not all(p.lstrip(" ").isalnum() or p in ("", " ") for p in parts[::2]):
-            return self._plain(word)
-        if parts[0] == " ":
-            parts[:2] = ["", " " + parts[1]]
-        return b"".join([self._words[p] if p != word else self._plain(p) for p in parts if p])
 
     def _segment(self, text: str) -> bytes:
-        if self._TWO_SPACES.search(text):
-            return self._plain(text)
-        words = (" " + text).split(" ")[1:]
-        words = [words[0], *map(" ".__add__, words[1:])] if words[0] else list(map(" ".__add__, words[1:]))
-        return b"".join(map(self._words.__getitem__, words))
+        return array("H", self._encode(text)).tobytes()
 
     def ids(self, text: str) -> bytes:
         if self._cut and "<|" in text:
