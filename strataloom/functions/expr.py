@@ -45,12 +45,10 @@ def redundancy_tokens(text: Column) -> Column:
 
 def shingles(tokens: Column, width: int = 5) -> Column:
     """Hashes of the distinct ``width``-token windows of a token list; empty if it is shorter."""
-    hashed = F.transform(tokens, lambda t: F.xxhash64(t))
-    windows = F.transform(
-        F.sequence(F.lit(1), F.size(tokens) - (width - 1)),
-        lambda i: F.xxhash64(*(F.element_at(hashed, (i + k).cast("int")) for k in range(width))),
-    )
-    return F.when(F.size(tokens) >= width, F.array_distinct(windows)).otherwise(F.array().cast("array<bigint>"))
+    n = F.size(tokens) - (width - 1)
+    shifted = F.arrays_zip(*(F.slice(tokens, k + 1, F.greatest(n, F.lit(0))).alias(f"t{k}") for k in range(width)))
+    windows = F.transform(shifted, lambda w: F.xxhash64(*(w[f"t{k}"] for k in range(width))))
+    return F.when(n > 0, F.array_distinct(windows)).otherwise(F.array().cast("array<bigint>"))
 
 
 def set_jaccard(a: Column, b: Column) -> Column:

@@ -90,7 +90,8 @@ def redundancy_tokens(t):
 @query("shingle_count", f"""select doc_id, case when len(w) < 5 then 0 else len(list_distinct(list_transform(range(1, len(w) - 3),
  lambda i: w[i] || ' ' || w[i+1] || ' ' || w[i+2] || ' ' || w[i+3] || ' ' || w[i+4]))) end::bigint as n from (select doc_id, {_WORDS} as w from documents)""")
 def shingle_count(t):
-    return t("documents").select("doc_id", F.size(expr.shingles(expr.redundancy_tokens(F.col("text")))).cast("long").alias("n"))
+    toks = t("documents").select("doc_id", expr.redundancy_tokens(F.col("text")).alias("toks"))
+    return toks.select("doc_id", F.size(expr.shingles(F.col("toks"))).cast("long").alias("n"))
 
 
 @query("exact_duplicate_groups", "select sha256(text) as digest, count(*) as n, min(doc_id) as first_id, max(doc_id) as last_id from documents group by 1 having count(*) > 1")

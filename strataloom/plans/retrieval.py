@@ -102,21 +102,21 @@ _RRF_SQL = f"""with {_ranked_sql(100)}, {_TOPK.format(mask='true', k=100)},
  f as (select query_id, id, least(1.0, sum(1.0::double / (60 + rank)) / (2.0::double / 61)) as x from src group by all)"""
 
 
-@query("rrf_fusion", _RRF_SQL + " select query_id, id, floor(floor(x * 1e6 + 0.5) / 10 + 0.5)::bigint as relevance from f")
+@query("rrf_fusion", _RRF_SQL + " select query_id, id, floor(x * 1e6 + 0.5)::bigint as relevance from f")
 def rrf_fusion(t):
     """Reciprocal-rank fusion of BM25 and vector rankings."""
     sources = _sources(t, [(q, "all", s, 1.0) for q in ("q1", "q2", "q3") for s in ("lexical", "vector")])
     fused = search.rrf(_both_rankings(t).withColumn("grp", F.lit("all")), sources)
-    return fused.select("query_id", "id", F.floor(F.col("relevance") * 1e5 + 0.5).alias("relevance"))
+    return fused.select("query_id", "id", F.floor(F.col("relevance") * 1e6 + 0.5).alias("relevance"))
 
 
 @query("rrf_per_plane", f"""with {_ranked_sql(100)}, src as (select query_id, case when doc_id % 2 = 0 then 'even' else 'odd' end as grp, doc_id as id, rank from ranked),
- f as (select query_id, grp, id, least(1.0, (1.0::double / (60 + rank)) / (1.0::double / 61)) as x from src) select query_id, grp, id, floor(floor(x * 1e6 + 0.5) / 10 + 0.5)::bigint as relevance from f""")
+ f as (select query_id, grp, id, least(1.0, (1.0::double / (60 + rank)) / (1.0::double / 61)) as x from src) select query_id, grp, id, floor(x * 1e6 + 0.5)::bigint as relevance from f""")
 def rrf_per_plane(t):
     grp = F.when(F.col("doc_id") % 2 == 0, "even").otherwise("odd")
     ranked = _ranked(t, 100).select("query_id", grp.alias("grp"), F.lit("lexical").alias("source"), F.col("doc_id").alias("id"), "rank")
     sources = _sources(t, [(q, g, "lexical", 1.0) for q in ("q1", "q2", "q3") for g in ("even", "odd")])
-    return search.rrf(ranked, sources).select("query_id", "grp", "id", F.floor(F.col("relevance") * 1e5 + 0.5).alias("relevance"))
+    return search.rrf(ranked, sources).select("query_id", "grp", "id", F.floor(F.col("relevance") * 1e6 + 0.5).alias("relevance"))
 
 
 def _candidates(t):
@@ -181,7 +181,10 @@ _GRAMS = "list_distinct(list_transform(range(1, len(w) - 3), lambda i: w[i] || '
  select doc_id, item_id, count(*) as shared, floor(count(*) / any_value(total) * 1e6 + 0.5) / 1e6 as share from d join b using (g) join n using (item_id) group by doc_id, item_id""")
 def benchmark_contamination(t):
     """Five-word shingles of each benchmark item found in each document."""
-    grams = lambda df, key: df.select(key, F.explode(expr.shingles(expr.redundancy_tokens(F.col("text")))).alias("g"))
+    def grams(df, key):
+        toks = df.select(key, expr.redundancy_tokens(F.col("text")).alias("toks"))  # once a row, not once a use
+        return toks.select(key, F.explode(expr.shingles(F.col("toks"))).alias("g"))
+
     b = grams(t("benchmark"), "item_id")
     total = b.groupBy("item_id").agg(F.count("*").alias("total"))
     hits = grams(t("documents"), "doc_id").join(b, "g").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
