@@ -7,33 +7,27 @@ from pyspark.sql import functions as F
 
 #: A key is heavy if it holds more than this share of the rows, so there are under 1 / SHARE heavy keys.
 SHARE = 0.002
+SALTS = 64
 
 
 def join_heavy(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """``big`` joined (inner or left) with ``small``, in which a key has one row or a few.
 
-    Heavy keys of ``big`` are counted first, with partial sums before the shuffle. Their rows stay where they are and meet
-    the few rows of ``small`` for these keys by broadcast, whose size is bounded by the number of heavy keys; all other
-    rows are shuffled as usual. ``big`` is read twice, so it should be a written table or a plain scan. Rows with a null
-    key never reach a shuffle. The result has the columns ``on``, then those of ``big``, then those of ``small``.
+    Heavy keys of ``big`` are counted first, with partial sums before the shuffle; there are at most 1 / SHARE. Their
+    rows are salted, and the few rows of ``small`` for them are repeated for every salt; so are rows with a null key,
+    which match nothing. ``big`` is read twice, so it should be a written table or a plain scan. The result has the
+    columns ``on``, then those of ``big``, then those of ``small``.
     """
     named = [*on, *(c for c in big.columns if c not in on), *(c for c in small.columns if c not in on)]
     full = F.lit(True)
     for c in on:
         full = full & F.col(c).isNotNull()
-    counts = big.filter(full).groupBy(*on).agg(F.count("*").alias("rows_of_key"))
-    total = big.count()
-    heavy = counts.filter(F.col("rows_of_key") > max(1000.0, total * SHARE)).select(*on)
-    keys = heavy.limit(int(1 / SHARE) + 1).collect()
-    if not keys:
-        light = big.filter(full).join(small, on, how).select(*named)
-        out = light
-    else:
-        few = F.broadcast(big.sparkSession.createDataFrame(keys, heavy.schema))
-        light = big.filter(full).join(few, on, "left_anti").join(small, on, how).select(*named)
-        there = F.broadcast(small.join(few, on, "left_semi"))
-        out = light.unionByName(big.join(few, on, "left_semi").join(there, on, how).select(*named))
-    if how == "left":
-        none = big.filter(~full).select(*big.columns, *(F.lit(None).cast(small.schema[c].dataType).alias(c) for c in small.columns if c not in on))
-        out = out.unionByName(none.select(*named))
-    return out
+    key = F.xxhash64(*on)
+    counts = big.filter(full).groupBy(key.alias("k")).agg(F.count("*").alias("n"))
+    least = max(1000.0, big.count() * SHARE)
+    heavy = [r.k for r in counts.filter(F.col("n") > least).select("k").limit(int(1 / SHARE) + 1).collect()]
+    spread = F.pmod(F.xxhash64(*big.columns, F.lit(1)), F.lit(SALTS)).cast("int")
+    is_heavy = key.isin(heavy) if heavy else F.lit(False)
+    salt = F.when(~full | is_heavy, spread).otherwise(0)
+    every = F.when(is_heavy, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return big.withColumn("salt_of_row", salt).join(small.withColumn("salt_of_row", F.explode(every)), [*on, "salt_of_row"], how).select(*named)

@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataloom.llm.deepshallow import deep_shallow_order, neighbour_prefixes
+from strataloom.llm.heavy import join_heavy
 from strataloom.runtime import Scratch, shuffle_partitions
 
 LENGTH, GRAM = 400, 32
@@ -287,7 +288,8 @@ def repeated_spans(texts: DataFrame, scratch: Scratch, length: int, gram: int, m
         .filter("c > 1")
         .select("key", (F.col("d0") != F.col("d1")).alias("differ"))
     )
-    again = scratch.cut(anchors.join(keys, "key"), "repeated")
+    keys = scratch.cut(keys, "keys")
+    again = scratch.cut(join_heavy(anchors, keys, ["key"]), "repeated")
     scratch.drop(anchors)
     contexts = (
         again.filter("differ")
@@ -319,7 +321,7 @@ def repeated_spans(texts: DataFrame, scratch: Scratch, length: int, gram: int, m
     span = lambda a, b: F.shiftleft(a.cast("long"), 32).bitwiseOR(b.cast("long"))
     equal = again.filter("not differ").select("row_hash", span(F.col("low"), F.col("low") + F.col("more") + length).alias("span"))
     sorted_out = (
-        again.filter("differ").select("row_hash", "key", "digest", "low").join(found, ["key", "digest"])
+        join_heavy(again.filter("differ").select("row_hash", "key", "digest", "low"), found, ["key", "digest"])
         .select("row_hash", span(F.col("low") + F.col("first"), F.col("low") + F.col("last") + length).alias("span"))
     )
     return equal.unionAll(sorted_out).groupBy("row_hash").agg(F.collect_set("span").alias("spans"))
