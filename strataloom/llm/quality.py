@@ -216,8 +216,11 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows:
     voted = _map_text(docs.select(F.col(text_col).cast("string").alias("text")), lambda: votes_of, "votes", "string", pa.string())
     patterns = {r.votes: r.n for r in voted.groupBy("votes").agg(F.count("*").alias("n")).collect()}
     posterior, table, _ = estimate(patterns)
-    texts = docs.select(F.col(text_col).cast("string").alias("text")).filter(F.octet_length("text") <= most_bytes)
-    sample = [r.text for r in texts.orderBy(F.xxhash64("text"), "text").limit(rows).collect()]
+    place = F.xxhash64(id_col, text_col)
+    texts = docs.select(F.col(text_col).cast("string").alias("text"), place.alias("place")).filter(F.octet_length("text") <= most_bytes)
+    # about twice as many as are wanted reach the driver, however many partitions there are
+    some = texts.filter(F.pmod("place", F.lit(max(1, sum(patterns.values()) // (2 * rows)))) == 0)
+    sample = [r.text for r in some.orderBy("place", "text").limit(rows).collect()]
     return fit(sample, [posterior[votes_of(t)] for t in sample]), posterior, table
 
 
