@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 _MARK = "\ud800"  # stands for a SPACE character of the text itself, which byte pieces then spell; in no valid text
-CACHED = 240_000
+CACHED = 400_000
 _A, _B, _C, _M = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93
 _ALL = (1 << 64) - 1
 LONG = 64
@@ -84,8 +84,14 @@ def vocabulary(path: str) -> MergeVocabulary:
     return MergeVocabulary(path)
 
 
-def segment(word: str, scores: dict[str, float], skip) -> list[str]:
-    """Pieces of a word by the agenda; ``skip(start, middle, end)`` decides each candidate once."""
+def skipped(key: int, left: int, right: int, stop: int, limit: int) -> bool:
+    """Whether the keyed hash skips the candidate that joins word[left:right] and word[right:stop]."""
+    x = (key + left * _A + right * _B + stop * _C) * _M & _ALL
+    return ((x ^ x >> 29) * _M & _ALL) < limit
+
+
+def segment(word: str, scores: dict[str, float], key: int = 0, limit: int = 0) -> list[str]:
+    """Pieces of a word by the agenda; of the candidates it takes off, the hash of ``key`` skips ``limit`` in 2**64."""
     n = len(word)
     if n < 2:
         return [word]
@@ -95,7 +101,7 @@ def segment(word: str, scores: dict[str, float], skip) -> list[str]:
     heapq.heapify(agenda)
     while agenda:
         _, left, right, stop = heapq.heappop(agenda)
-        if end[left] != right or end[right] != stop or skip(left, right, stop):
+        if end[left] != right or end[right] != stop or limit and skipped(key, left, right, stop, limit):
             continue
         end[left], end[right] = stop, 0
         if stop < n:
@@ -129,18 +135,9 @@ class MergeDropout:
         v = self.vocab
         if word == _MARK:
             return array("H", [v.byte_ids[b] for b in SPACE.encode()]).tobytes()
-        if self.limit:
-            limit = self.limit
-            key = xxhash.xxh3_64_intdigest(word.encode(), self.seed * 1_000_003 + variant & _ALL)
-
-            def skip(left: int, right: int, stop: int) -> bool:
-                x = (key + left * _A + right * _B + stop * _C) * _M & _ALL
-                return ((x ^ x >> 29) * _M & _ALL) < limit
-
-        else:
-            skip = lambda *_: False
+        key = xxhash.xxh3_64_intdigest(word.encode(), self.seed * 1_000_003 + variant & _ALL) if self.limit else 0
         out: list[int] = []
-        for piece in segment(word, v.scores, skip):
+        for piece in segment(word, v.scores, key, self.limit):
             i = v.ids.get(piece)
             out += [i] if i is not None else [v.byte_ids[b] for b in piece.replace(SPACE, " ").encode()]
         return array("H", out).tobytes()

@@ -4,7 +4,7 @@ import public_tokenizers
 import pytest
 import sentencepiece
 
-from strataloom.llm.mergedropout import SPACE, MergeDropout, decode, encode, segment, vocabulary
+from strataloom.llm.mergedropout import SPACE, MergeDropout, decode, encode, segment, skipped, vocabulary
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -43,13 +43,32 @@ def test_dropout_varies_and_decodes(library):
     assert len(everything.encode("hello")) == 6
 
 
-def test_agenda_skips_each_candidate_once():
-    scores = {"ab": -1.0, "bc": -0.5, "abc": -2.0, "aa": -3.0, "aaaa": -4.0}
-    assert segment("abc", scores, lambda *x: False) == ["a", "bc"] or segment("abc", scores, lambda *x: False) == ["abc"]
-    asked = []
-    assert segment("abc", scores, lambda *x: asked.append(x) or x == (1, 2, 3)) == ["abc"]
-    assert len(asked) == len(set(asked))
-    assert segment("aaaa", scores, lambda *x: False) == ["aaaa"]
+def slow_segment(word, scores, key, limit):
+    """The best candidate, then the leftmost, over and over; what was skipped once stays skipped."""
+    cuts, out = list(range(len(word) + 1)), set()
+    while True:
+        best = None
+        for a, b, c in zip(cuts, cuts[1:], cuts[2:], strict=False):
+            s = scores.get(word[a:c])
+            if s is not None and (a, b, c) not in out and (best is None or s > best[0]):
+                best = (s, a, b, c)
+        if best is None:
+            return [word[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        if limit and skipped(key, *best[1:], limit):
+            out.add(best[1:])
+        else:
+            cuts.remove(best[2])
+
+
+def test_agenda_matches_repeated_search():
+    rng = random.Random(3)
+    scores = {"".join(rng.choice("ab") for _ in range(rng.randrange(2, 6))): -float(k) for k in range(40)}
+    for k in range(3000):
+        word = "".join(rng.choice("ab") for _ in range(rng.randrange(1, 14)))
+        limit = rng.choice([0, 1 << 62, 1 << 63])
+        assert segment(word, scores, k, limit) == slow_segment(word, scores, k, limit)
+    shares = [skipped(k, 1, 2, 3, 1 << 62) for k in range(20000)]
+    assert abs(sum(shares) / 20000 - 0.25) < 0.02
 
 
 def test_round_trip_of_documents(spark, sf):
