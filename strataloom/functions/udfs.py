@@ -64,9 +64,9 @@ def python_facts(source: str) -> list[tuple[str, str, str, int, int]]:
                 walk(child, [*scope, child.name], kind == "class")
                 continue
             if isinstance(child, ast.Import):
-                out += [("import", a.name, ".".join(scope), *at) for a in child.names]
+                out.extend(("import", a.name, ".".join(scope), *at) for a in child.names)
             elif isinstance(child, ast.ImportFrom):
-                out += [("import", "." * child.level + (child.module or ""), ".".join(scope), *at)]
+                out.append(("import", "." * child.level + (child.module or ""), ".".join(scope), *at))
             elif isinstance(child, ast.Call) and (called := dotted(child.func)):
                 out.append(("call", called, ".".join(scope), *at))
             walk(child, scope, in_class)

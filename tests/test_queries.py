@@ -1,6 +1,9 @@
 """Every registered query against its SQL, at a small scale."""
 
+import numbers
+
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -20,7 +23,7 @@ def duck(sf):
 
 
 def rows(df):
-    one = lambda v: None if pd.isna(v) else float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+    one = lambda v: None if pd.isna(v) else float(v) if isinstance(v, numbers.Number) and not isinstance(v, (bool, np.bool_)) else str(v)
     return sorted((tuple(map(one, r)) for r in df[sorted(df.columns)].itertuples(index=False)), key=str)
 
 
