@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataloom.llm.components import connected_components
+from strataloom.llm.heavy import join_heavy
 from strataloom.runtime import Scratch, shuffle_partitions
 
 SEED = 42
@@ -259,7 +260,7 @@ def simhash_groups(
     rooted = nodes.join(cc, nodes.fp == cc.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     firsts = rooted.groupBy("root").agg(F.min("first").alias("group_first"))
     by_fp = rooted.join(firsts, "root").select("fp", "group_first")
-    return fps.join(by_fp, "fp").select(
+    return join_heavy(fps, scratch.cut(by_fp, "by-fp"), ["fp"]).select(
         "id",
         "row_hash",
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
