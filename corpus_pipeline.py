@@ -18,6 +18,9 @@ from strataloom.llm.suffixdedup import remove_repeats
 from strataloom.llm.toxicity import score, train
 from strataloom.runtime import Scratch
 
+#: Words of the shortest passage that may not repeat.
+PASSAGE = 51
+
 
 def _with_text(docs: DataFrame, columns: list[str]) -> DataFrame:
     """The columns of documents in their order, with n_chars of the text as it is now."""
@@ -40,10 +43,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut every byte string of 400 bytes or more that occurs more than once; bytes of split characters go too."""
+    """Cut every run of over 50 words, and every byte string of 400 bytes or more, that occurs more than once.
+
+    Bytes of split characters go too.
+    """
     scratch = Scratch(spark)
     rows = docs.withColumn("row", F.xxhash64(*docs.columns))
-    found = remove_repeats(rows, id_col="row", scratch=scratch).filter("n_removed > 0")
+    found = remove_repeats(rows, id_col="row", scratch=scratch, words=PASSAGE).filter("n_removed > 0")
     cut = found.select(F.col("id").alias("row"), F.try_validate_utf8(F.col("kept").cast("string")).alias("whole"), F.col("kept")).distinct()
     cut = cut.select("row", F.coalesce("whole", F.make_valid_utf8(F.col("kept").cast("string"))).alias("kept"))
     cut = cut.withColumn("kept", F.regexp_replace("kept", "�", ""))

@@ -14,6 +14,9 @@ A byte goes if some ``length``-byte string over it also starts anywhere else in
    shared by very many texts) is not sorted in one task: its windows are counted by 128-bit digest over all tasks.
 4. The windows found are merged for each document and cut out.
 
+With ``words``, every run of that many words that occurs again goes too, however few bytes it has: each word becomes a
+code of CODE bytes, the same steps find the runs of codes that repeat, and these are led back to the bytes of the words.
+
 Texts meet their anchors in a join on a hash of the row; rows that repeat both id and text share it and get equal results.
 
 Rows: a null text is an empty one. A null id is kept. Rows that repeat are different places, so their repeats go. A text
@@ -23,8 +26,10 @@ under ``length`` bytes is kept whole. Long texts are worked through in overlappi
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from functools import cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +44,8 @@ from strataloom.runtime import Scratch, shuffle_partitions
 LENGTH, GRAM = 400, 32
 BUFFER = 1 << 18
 LONGEST_PIECE = 1 << 20
+CODE = 5  # bytes that stand for a word
+_WORD = re.compile(rb"\S+")
 _POS = np.uint64((1 << 26) - 1)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -335,16 +342,43 @@ def merged(spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start[new], end[np.append(np.flatnonzero(new)[1:], len(spans)) - 1]
 
 
-def _cut_out(at: int, text_at: int):
-    """Adds the counts, the digest and the kept bytes."""
+def word_codes(data: bytes) -> bytes:
+    """The words of ``data``, CODE bytes of hash each."""
+    words = _WORD.findall(data)
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    return hashes.view(np.uint8).reshape(-1, 8)[:, :CODE].tobytes()
+
+
+def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        codes = [word_codes(t.as_py() or b"") for t in batch.column("text")]
+        yield pa.RecordBatch.from_arrays([batch.column("row_hash"), pa.array(codes, pa.binary())], names=["row_hash", "text"])
+
+
+def bytes_of_words(data: bytes, spans: np.ndarray, words: int) -> np.ndarray:
+    """Packed spans of codes to packed spans of the bytes from their first word to their last."""
+    start, end = merged(spans)
+    first, after = -(-start // CODE), end // CODE
+    long = after - first >= words
+    at = np.array([m.span() for m in _WORD.finditer(data)], np.int64)
+    return at[first[long], 0] << 32 | at[after[long] - 1, 1]
+
+
+def _cut_out(at: int, text_at: int, words: int = 0):
+    """Adds the counts, the digest and the kept bytes. With ``words``, spans of codes follow the spans of bytes."""
+    drop = (at, text_at, at + 1) if words else (at, text_at)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, removed, runs, digests, kept = [], [], [], [], []
-            for text, spans in zip(batch.column(text_at), batch.column(at), strict=True):
+            coded = batch.column(at + 1) if words else repeat(None, batch.num_rows)
+            for text, spans, codes in zip(batch.column(text_at), batch.column(at), coded, strict=True):
                 data = text.as_py() or b""
                 sizes.append(len(data))
                 values = spans.values
+                if codes is not None and codes.values is not None and len(codes.values):
+                    more = bytes_of_words(data, codes.values.to_numpy(), words)
+                    values = pa.array(more if values is None else np.append(values.to_numpy(), more))
                 if values is None or not len(values):
                     removed.append(0)
                     runs.append(0)
@@ -358,14 +392,14 @@ def _cut_out(at: int, text_at: int):
                 kept.append(data)
             yield pa.RecordBatch.from_arrays(
                 [
-                    *(c for k, c in enumerate(batch.columns) if k not in (at, text_at)),
+                    *(c for k, c in enumerate(batch.columns) if k not in drop),
                     pa.array(sizes, pa.int64()),
                     pa.array(removed, pa.int64()),
                     pa.array(runs, pa.int64()),
                     pa.array(digests, pa.string()),
                     pa.array(kept, pa.binary()),
                 ],
-                names=[*(c for k, c in enumerate(batch.schema.names) if k not in (at, text_at)), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
+                names=[*(c for k, c in enumerate(batch.schema.names) if k not in drop), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
             )
 
     return run
@@ -380,6 +414,7 @@ def remove_repeats(
     most_contexts: int = 1 << 14,
     at_once: int = 1 << 13,
     scratch: Scratch | None = None,
+    words: int = 0,
 ) -> DataFrame:
     """One row per input row: id, row_hash, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that stay)."""
     if not 1 <= gram < length:
@@ -387,7 +422,14 @@ def remove_repeats(
     scratch = scratch or Scratch(docs.sparkSession)
     rows = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("row_hash"), F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     spans = scratch.cut(repeated_spans(rows.select("row_hash", "text"), scratch, length, gram, most_contexts, at_once), "spans")
-    joined = rows.join(spans, "row_hash", "left").select("id", "row_hash", "spans", "text")
+    if words:
+        own = Scratch(docs.sparkSession)
+        runs = repeated_spans(rows.mapInArrow(_coded, "row_hash long, text binary"), own, words * CODE, gram, most_contexts, at_once)
+        runs = scratch.cut(runs.withColumnRenamed("spans", "codes"), "codes")
+        own.close()
+        joined = rows.join(spans, "row_hash", "left").join(runs, "row_hash", "left").select("id", "row_hash", "spans", "codes", "text")
+    else:
+        joined = rows.join(spans, "row_hash", "left").select("id", "row_hash", "spans", "text")
     kind = joined.schema["id"].dataType.simpleString()
     schema = f"id {kind}, row_hash long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    return joined.mapInArrow(_cut_out(2, 3), schema)
+    return joined.mapInArrow(_cut_out(2, 4 if words else 3, words), schema)
