@@ -11,9 +11,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataloom.llm.nearcopies import near_copy_groups
 from strataloom.llm.packing import pack
 from strataloom.llm.pii import redact
-from strataloom.llm.simhash import simhash_groups
 from strataloom.llm.suffixdedup import remove_repeats
 from strataloom.llm.toxicity import score, train
 from strataloom.runtime import Scratch
@@ -34,8 +34,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document, that with the least id, of each group of SimHash near-duplicates."""
-    groups = simhash_groups(docs)
+    """Keep one document, that with the least id, of each group of near copies: by SimHash, or 0.8 of five-word shingles."""
+    groups = near_copy_groups(docs)
     first = groups.filter("is_first").select(F.col("id").alias("doc_id"), "row_hash").distinct()
     keyed = docs.withColumn("row_hash", F.xxhash64("doc_id", "text"))
     kept = keyed.join(first.select("row_hash"), "row_hash", "left_semi")
