@@ -45,14 +45,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut every run of over 50 words, and every byte string of 400 bytes or more, that occurs more than once.
 
-    Bytes of split characters go too.
+    Characters that a cut splits go whole; all others stay.
     """
     scratch = Scratch(spark)
     rows = docs.withColumn("row", F.xxhash64(*docs.columns))
-    found = remove_repeats(rows, id_col="row", scratch=scratch, words=PASSAGE).filter("n_removed > 0")
-    cut = found.select(F.col("id").alias("row"), F.try_validate_utf8(F.col("kept").cast("string")).alias("whole"), F.col("kept")).distinct()
-    cut = cut.select("row", F.coalesce("whole", F.make_valid_utf8(F.col("kept").cast("string"))).alias("kept"))
-    cut = cut.withColumn("kept", F.regexp_replace("kept", "�", ""))
+    found = remove_repeats(rows, id_col="row", scratch=scratch, words=PASSAGE, whole=True).filter("n_removed > 0")
+    cut = found.select(F.col("id").alias("row"), F.make_valid_utf8(F.col("kept").cast("string")).alias("kept")).distinct()
     joined = rows.join(cut, "row", "left").withColumn("text", F.coalesce("kept", "text"))
     return _with_text(joined, docs.columns)
 

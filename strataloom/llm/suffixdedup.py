@@ -364,7 +364,16 @@ def bytes_of_words(data: bytes, spans: np.ndarray, words: int) -> np.ndarray:
     return at[first[long], 0] << 32 | at[after[long] - 1, 1]
 
 
-def _cut_out(at: int, text_at: int, words: int = 0):
+def whole_characters(data: bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The spans, widened to the borders of the characters they split."""
+    inside = (np.append(np.frombuffer(data, np.uint8), 0) & 0xC0) == 0x80
+    for _ in range(3):
+        start = start - (inside[start] & (start > 0))
+        end = end + inside[end]
+    return start, end
+
+
+def _cut_out(at: int, text_at: int, words: int = 0, whole: bool = False):
     """Adds the counts, the digest and the kept bytes. With ``words``, spans of codes follow the spans of bytes."""
     drop = (at, text_at, at + 1) if words else (at, text_at)
 
@@ -384,6 +393,9 @@ def _cut_out(at: int, text_at: int, words: int = 0):
                     runs.append(0)
                 else:
                     start, end = merged(values.to_numpy())
+                    if whole:
+                        start, end = whole_characters(data, start, end)
+                        start, end = merged(start << 32 | end)
                     parts = [data[a:b] for a, b in zip([0, *end.tolist()], [*start.tolist(), len(data)], strict=True)]
                     data = b"".join(parts)
                     removed.append(sizes[-1] - len(data))
@@ -415,8 +427,12 @@ def remove_repeats(
     at_once: int = 1 << 13,
     scratch: Scratch | None = None,
     words: int = 0,
+    whole: bool = False,
 ) -> DataFrame:
-    """One row per input row: id, row_hash, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that stay)."""
+    """One row per input row: id, row_hash, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that stay).
+
+    With ``whole``, characters that a cut would split go with it.
+    """
     if not 1 <= gram < length:
         raise ValueError("gram must be shorter than length")
     scratch = scratch or Scratch(docs.sparkSession)
@@ -432,4 +448,4 @@ def remove_repeats(
         joined = rows.join(spans, "row_hash", "left").select("id", "row_hash", "spans", "text")
     kind = joined.schema["id"].dataType.simpleString()
     schema = f"id {kind}, row_hash long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    return joined.mapInArrow(_cut_out(2, 4 if words else 3, words), schema)
+    return joined.mapInArrow(_cut_out(2, 4 if words else 3, words, whole), schema)

@@ -42,3 +42,10 @@ def test_words_kept_are_those_in_no_repeated_run(spark):
         changed += bool(gone)
         assert got[i] == [w for q, w in enumerate(t) if q not in gone]
     assert changed > 5
+
+
+def test_characters_of_the_input_stay(spark, sf):
+    shared = "".join(f"{i:03d}-" for i in range(110))
+    texts = ["own \ufffd one é" + shared + "é\ufffd end", "other \ufffd two ĩ" + shared + "ê rest", "\ufffd"]
+    got = staged(spark, texts, sf)
+    assert got == {0: "own \ufffd one \ufffd end", 1: "other \ufffd two  rest", 2: "\ufffd"}
