@@ -121,7 +121,7 @@ def anchors_of(data: bytes, starts: np.ndarray, ends: np.ndarray, length: int, g
     return np.searchsorted(starts, low, side="right") - 1, hashes[at], digest, at, low, high
 
 
-def _anchors(length: int, gram: int):
+def _anchors(length: int, gram: int, coded: bool = False):
     names = ["row_hash", "key", "digest", "low", "left", "more"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
 
@@ -142,6 +142,8 @@ def _anchors(length: int, gram: int):
         for batch in batches:
             for row, text in zip(batch.column("row_hash").to_pylist(), batch.column("text"), strict=True):
                 data = text.as_py() or b""
+                if coded:
+                    data = word_codes(data)
                 for at in range(0, max(1, len(data) - length + 1), LONGEST_PIECE):
                     piece = data[at : at + LONGEST_PIECE + length - 1]
                     if len(piece) < length:
@@ -157,14 +159,14 @@ def _anchors(length: int, gram: int):
     return run
 
 
-def _contexts(length: int):
+def _contexts(length: int, coded: bool = False):
     """Rows (text, wanted anchors) to one row an anchor, with its bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
             for text, wanted in zip(batch.column("text"), batch.column("wanted"), strict=True):
-                data = text.as_py()
+                data = word_codes(text.as_py()) if coded else text.as_py()
                 for w in wanted.as_py():
                     low, more = w["low"], w["more"]
                     out.append((w["key"], w["digest"], w["many"], w["left"], more, data[low : low + more + length], w["hot"]))
@@ -284,11 +286,11 @@ def _window_digests(length: int):
     return run
 
 
-def repeated_spans(texts: DataFrame, scratch: Scratch, length: int, gram: int, most_contexts: int, at_once: int) -> DataFrame:
-    """``texts(row_hash, text)`` to ``(row_hash, spans)``: packed ``start << 32 | end``, unordered and overlapping."""
+def repeated_spans(texts: DataFrame, scratch: Scratch, length: int, gram: int, most_contexts: int, at_once: int, coded: bool = False) -> DataFrame:
+    """``texts(row_hash, text)`` to ``(row_hash, spans)``: packed ``start << 32 | end``, unordered and overlapping; ``coded``, of word codes."""
     n = shuffle_partitions(texts.sparkSession)
     schema = "row_hash long, key long, digest long, low int, left int, more int"
-    anchors = scratch.cut(texts.mapInArrow(_anchors(length, gram), schema), "anchors")
+    anchors = scratch.cut(texts.mapInArrow(_anchors(length, gram, coded), schema), "anchors")
     keys = (
         anchors.groupBy("key")
         .agg(F.count("*").alias("c"), F.min("digest").alias("d0"), F.max("digest").alias("d1"))
@@ -314,7 +316,7 @@ def repeated_spans(texts: DataFrame, scratch: Scratch, length: int, gram: int, m
     # rows that repeat id and text bring their contexts twice, which are then marked as many anyway
     named = texts.join(wanted, "row_hash").select("text", "wanted")
     ctx_schema = "key long, digest long, many boolean, left int, more int, bytes binary, hot boolean"
-    cut = scratch.cut(named.mapInArrow(_contexts(length), ctx_schema), "context-bytes", "zstd")
+    cut = scratch.cut(named.mapInArrow(_contexts(length, coded), ctx_schema), "context-bytes", "zstd")
     found_schema = "key long, digest long, first int, last int"
     dealt = cut.filter("not hot").repartition(n, "key").sortWithinPartitions("key", "digest")
     found = dealt.mapInArrow(_sorted_windows(length, at_once), found_schema)
@@ -349,12 +351,6 @@ def word_codes(data: bytes) -> bytes:
     return hashes.view(np.uint8).reshape(-1, 8)[:, :CODE].tobytes()
 
 
-def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        codes = [word_codes(t.as_py() or b"") for t in batch.column("text")]
-        yield pa.RecordBatch.from_arrays([batch.column("row_hash"), pa.array(codes, pa.binary())], names=["row_hash", "text"])
-
-
 def bytes_of_words(data: bytes, spans: np.ndarray, words: int) -> np.ndarray:
     """Packed spans of codes to packed spans of the bytes from their first word to their last."""
     start, end = merged(spans)
@@ -440,7 +436,7 @@ def remove_repeats(
     spans = scratch.cut(repeated_spans(rows.select("row_hash", "text"), scratch, length, gram, most_contexts, at_once), "spans")
     if words:
         own = Scratch(docs.sparkSession)
-        runs = repeated_spans(rows.mapInArrow(_coded, "row_hash long, text binary"), own, words * CODE, gram, most_contexts, at_once)
+        runs = repeated_spans(rows.select("row_hash", "text"), own, words * CODE, gram, most_contexts, at_once, coded=True)
         runs = scratch.cut(runs.withColumnRenamed("spans", "codes"), "codes")
         own.close()
         joined = rows.join(spans, "row_hash", "left").join(runs, "row_hash", "left").select("id", "row_hash", "spans", "codes", "text")
