@@ -10,7 +10,8 @@ both clusters of two vectors counts in the first of them only. Tasks return coun
 vector of its group, never pairs; groups join up as connected components.
 
 A bounded audit holds a sample of vectors against all rows; if it finds under ``recall`` of their links, the search is
-done again with a beam twice as wide, and at last by scanning each cluster.
+done again with a beam twice as wide, and at last exactly: each vector is also held against every other cluster that its
+angle to the centroid, the cluster's radius and ``least`` allow to hold a linked vector. Less than ``recall`` is an error.
 
 Equal vectors of a label are merged first and weighed by their number, so copies, however many, cost one.
 
@@ -43,6 +44,7 @@ SAMPLE, MOST_CLUSTERS, CLUSTER, SHARD = 40_000, 4096, 1024, 512
 DEGREE, CANDIDATES, ALPHA, BEAM = 14, 40, 1.2, 24
 FAR_DEGREE, FAR_CANDIDATES = 8, 32
 AUDIT = 600
+CHUNK = 4096
 
 
 def robust_prune(
@@ -166,8 +168,11 @@ def in_range(x: np.ndarray, queries: np.ndarray, adjacency: np.ndarray, medoids:
     return q, r
 
 
-def linked(vectors: np.ndarray, cells: np.ndarray, here: np.ndarray, weight: np.ndarray, least: float, beam: int | None):
-    """(links counted here, a linked row of the same group) for the members of one cluster. No beam: scan."""
+def linked(vectors: np.ndarray, cells: np.ndarray, here: np.ndarray, weight: np.ndarray, least: float, beam: int | None, home: np.ndarray | None = None):
+    """(links counted here, a linked row of the same group) for the members of one cluster. No beam: scan.
+
+    With ``home``, all links of the rows at home count, and no others.
+    """
     x = vectors.astype(np.float64)
     x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
     n = len(x)
@@ -180,8 +185,10 @@ def linked(vectors: np.ndarray, cells: np.ndarray, here: np.ndarray, weight: np.
         return i
 
     adjacency, medoids = united_graph(x) if beam else (None, None)
-    for a in range(0, n, 256):
-        part = x[a : a + 256]
+    rows = np.arange(n) if home is None else np.flatnonzero(home)
+    for a in range(0, len(rows), 256):
+        of = rows[a : a + 256]
+        part = x[of]
         if beam:
             q, r = in_range(x, part, adjacency, medoids, beam, least - 1e-9)
             s = np.einsum("ij,ij->i", part[q], x[r])
@@ -189,11 +196,11 @@ def linked(vectors: np.ndarray, cells: np.ndarray, here: np.ndarray, weight: np.
             s = part @ x.T
             q, r = np.nonzero(s >= least - 1e-9)
             s = np.einsum("ij,ij->i", part[q], x[r])
-        ok = (s >= least) & (q + a != r)
-        q, r = q[ok] + a, r[ok]
+        ok = (s >= least) & (of[q] != r)
+        q, r = of[q[ok]], r[ok]
         # of two clusters that both hold both vectors, the lesser number counts
-        low = np.full(len(q), np.iinfo(np.int64).max)
-        for i in range(cells.shape[1]):
+        low = np.full(len(q), np.iinfo(np.int64).max) if home is None else here[q]
+        for i in range(cells.shape[1] if home is None else 0):
             for j in range(cells.shape[1]):
                 low = np.where((cells[q, i] == cells[r, j]) & (cells[q, i] >= 0), np.minimum(low, cells[q, i]), low)
         mine = low == here[q]
@@ -233,15 +240,83 @@ def _assign(centroids: dict[tuple[int, int], tuple[int, np.ndarray]]):
     return run
 
 
+def _angles(vectors: pa.ChunkedArray | pa.Array, c: np.ndarray) -> np.ndarray:
+    x = matrix(vectors).astype(np.float64)
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    c = c / np.maximum(np.sqrt((c * c).sum(axis=1, keepdims=True)), 1e-300)
+    return np.arccos(np.clip(x @ c.T, -1, 1))
+
+
+def _keyed(batch: pa.RecordBatch, centroids) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
+    """(rows, first cell, angles to the centroids) for each label and dimension of a batch."""
+    label, dim = batch.column("label").to_numpy(), batch.column("dim").to_numpy()
+    for lab, d in sorted(set(zip(label.tolist(), dim.tolist(), strict=True))):
+        rows = np.flatnonzero((label == lab) & (dim == d))
+        base, c = centroids[lab, d]
+        yield rows, base, _angles(batch.column("vector").take(pa.array(rows)), c)
+
+
+def _radii(centroids):
+    """Of each batch, (cell, members nearest to it, the largest angle of one)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, base, angles in _keyed(batch, centroids):
+                own = angles.argmin(axis=1)
+                cells, counts = np.unique(own, return_counts=True)
+                far = np.zeros(angles.shape[1])
+                np.maximum.at(far, own, angles[np.arange(len(own)), own])
+                yield pa.RecordBatch.from_arrays([pa.array(cells + base), pa.array(counts), pa.array(far[cells])], names=["cell", "n", "radius"])
+
+    return run
+
+
+def _visits(centroids, radii: np.ndarray, chunks: np.ndarray, least: float):
+    """One row for each cell and chunk that may hold vectors linked with a vector; at home in one of them."""
+    reach = np.arccos(min(1.0, least)) + 1e-6
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node = batch.column("node").to_numpy()
+            for rows, base, angles in _keyed(batch, centroids):
+                own, k = angles.argmin(axis=1), angles.shape[1]
+                for at in range(int(chunks[base : base + k].max())):
+                    i, c = np.nonzero((angles <= radii[base : base + k] + reach) & (chunks[base : base + k] > at))
+                    cell = c + base
+                    home = (own[i] == c) & (node[rows[i]] % chunks[cell] == at)
+                    for a in range(0, len(i), 10_000):
+                        part = slice(a, a + 10_000)
+                        taken = pa.array(rows[i[part]])
+                        columns = [batch.column(n).take(taken) for n in ("node", "vector", "weight")]
+                        place = cell[part] << 32 | at
+                        yield pa.RecordBatch.from_arrays([*columns, pa.array(place), pa.array(home[part])], names=["node", "vector", "weight", "cell", "home"])
+
+    return run
+
+
+def every_link(nodes: DataFrame, centroids, least: float) -> DataFrame:
+    """(node, n, peer) of all links: nothing within ``least`` of a vector lies in a cell that it does not visit."""
+    n_cells = sum(len(c) for _, c in centroids.values())
+    radii, counts = np.full(n_cells, -np.inf), np.zeros(n_cells, np.int64)
+    found = nodes.mapInArrow(_radii(centroids), "cell long, n long, radius double").groupBy("cell").agg(F.sum("n").alias("n"), F.max("radius").alias("radius"))
+    for r in found.collect():
+        radii[r.cell], counts[r.cell] = r.radius, r.n
+    chunks = -(-counts // CHUNK)
+    placed = nodes.mapInArrow(_visits(centroids, radii, chunks, least), "node long, vector array<float>, weight long, cell long, home boolean")
+    dealt = placed.repartition(shuffle_partitions(nodes.sparkSession), "cell").sortWithinPartitions("cell", "node")
+    return dealt.mapInArrow(_search(least, None), "node long, n long, peer long")
+
+
 def _search(least: float, beam: int | None):
     names = ["node", "n", "peer"]
 
     def solve(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(parts)
         node = t.column("node").to_numpy()
-        counts, root = linked(
-            matrix(t.column("vector")), matrix(t.column("cells")), t.column("cell").to_numpy(), t.column("weight").to_numpy(), least, beam
-        )
+        here = t.column("cell").to_numpy()
+        home = None if beam else t.column("home").to_numpy()
+        cells = matrix(t.column("cells")) if beam else here[:, None]
+        counts, root = linked(matrix(t.column("vector")), cells, here, t.column("weight").to_numpy(), least, beam, home)
         return pa.RecordBatch.from_arrays([pa.array(node), pa.array(counts), pa.array(node[root])], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,14 +415,17 @@ def vector_groups(
     truth = {r.node: r.n for r in nodes.mapInArrow(_audit(sample, least), "node long, n long").groupBy("node").agg(F.sum("n").alias("n")).collect()}
     for beam in (BEAM, 2 * BEAM, 4 * BEAM, None):
         by_cell = members.repartition(shuffle_partitions(spark), "cell").sortWithinPartitions("cell", "node")
-        found = scratch.cut(by_cell.mapInArrow(_search(least, beam), "node long, n long, peer long"), "found")
+        links = by_cell.mapInArrow(_search(least, beam), "node long, n long, peer long") if beam else every_link(nodes, centroids, least)
+        found = scratch.cut(links, "found")
         total = found.groupBy("node").agg(F.sum("n").alias("n"))
         seen = {r.node: r.n for r in total.join(F.broadcast(spark.createDataFrame([(n,) for n, *_ in sample], "node long")), "node").collect()}
         hits = sum(min(seen.get(k, 0), n) for k, n in truth.items())
         reached = hits / sum(truth.values()) if sum(truth.values()) else 1.0
         log.info("beam %s: recall %.4f of the links of %d audited vectors", beam, reached, len(sample))
-        if reached >= recall or beam is None:
+        if reached >= recall:
             break
+        if beam is None:
+            raise RuntimeError(f"recall {reached:.4f} of the audited links, under {recall}")
         scratch.drop(found)
     cc = connected_components(found.filter("node <> peer").select(F.col("node").alias("a"), F.col("peer").alias("b")), scratch)
     rooted = nodes.select("node", "weight", "least_id").join(cc, "node", "left").select("node", "weight", "least_id", F.coalesce("root", "node").alias("root"))
