@@ -1,13 +1,13 @@
 """Encoding with a SentencePiece vocabulary of merges under seeded merge-dropout, and decoding.
 
 Characters join by an agenda: candidate pairs come off a heap, best score first, then leftmost. Each candidate is decided
-by a keyed hash of the seed, a variant, the word, and the pair's place: with the given probability it is skipped and does
-not come back. The same seed gives the same ids again; other seeds and variants give other segmentations, and all of
-them decode to the same text. With probability 0 the ids are those of the vocabulary's own library.
+by a keyed hash of the seed, the document, the text, the word's number in it and the pair's place: with the given
+probability it is skipped and does not come back. The same seed gives the same ids again; other seeds, documents and places
+give other segmentations, and all of them decode to the same text. With probability 0 the ids are those of the vocabulary's own library.
 
 Pieces never run over a space into the word before it, nor over two characters that are neighbours in no piece; texts
-are cut there, and the ids of a word are remembered for each variant. Which of the ``variants`` a word gets in a text is a hash of
-seed, text and the word's number, so a word varies within and between texts though its segmentations are remembered.
+are cut there. Of each part the ids without dropout are remembered, and the candidates that lead to them: an occurrence for
+which none of these is skipped has those ids. For every other occurrence the agenda runs anew.
 
 Rows: a null text is an empty one and has no ids. A null id is kept. Rows that repeat give equal rows. Texts of any length
 are encoded whole. An empty table gives an empty table. Other columns are ignored.
@@ -21,6 +21,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -90,8 +91,11 @@ def skipped(key: int, left: int, right: int, stop: int, limit: int) -> bool:
     return ((x ^ x >> 29) * _M & _ALL) < limit
 
 
-def segment(word: str, scores: dict[str, float], key: int = 0, limit: int = 0) -> list[str]:
-    """Pieces of a word by the agenda; of the candidates it takes off, the hash of ``key`` skips ``limit`` in 2**64."""
+def segment(word: str, scores: dict[str, float], key: int = 0, limit: int = 0, taken: list[tuple] | None = None) -> list[str]:
+    """Pieces of a word by the agenda; of the candidates it takes off, the hash of ``key`` skips ``limit`` in 2**64.
+
+    Those not skipped are added to ``taken``.
+    """
     n = len(word)
     if n < 2:
         return [word]
@@ -103,6 +107,8 @@ def segment(word: str, scores: dict[str, float], key: int = 0, limit: int = 0) -
         _, left, right, stop = heapq.heappop(agenda)
         if end[left] != right or end[right] != stop or limit and skipped(key, left, right, stop, limit):
             continue
+        if taken is not None:
+            taken.append((left, right, stop))
         end[left], end[right] = stop, 0
         if stop < n:
             before[stop] = left
@@ -125,55 +131,63 @@ def segment(word: str, scores: dict[str, float], key: int = 0, limit: int = 0) -
 class MergeDropout:
     """Encodes and decodes with one vocabulary, seed and probability."""
 
-    def __init__(self, vocab: MergeVocabulary, seed: int, dropout: float, variants: int = 2):
-        self.vocab, self.seed, self.variants = vocab, seed, max(1, variants if dropout else 1)
+    def __init__(self, vocab: MergeVocabulary, seed: int, dropout: float):
+        self.vocab, self.seed = vocab, seed
         self.limit = int(dropout * (1 << 64))
-        self._known: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
-        self._old: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
+        self._known: dict[str, tuple] = {}
+        self._old: dict[str, tuple] = {}
 
-    def _make(self, word: str, variant: int) -> bytes:
+    def _ids(self, part: str, key: int = 0, limit: int = 0, taken: list[tuple] | None = None) -> bytes:
         v = self.vocab
-        if word == _MARK:
+        if part == _MARK:
             return array("H", [v.byte_ids[b] for b in SPACE.encode()]).tobytes()
-        key = xxhash.xxh3_64_intdigest(word.encode(), self.seed * 1_000_003 + variant & _ALL) if self.limit else 0
         out: list[int] = []
-        for piece in segment(word, v.scores, key, self.limit):
+        for piece in segment(part, v.scores, key, limit, taken):
             i = v.ids.get(piece)
             out += [i] if i is not None else [v.byte_ids[b] for b in piece.replace(SPACE, " ").encode()]
         return array("H", out).tobytes()
 
-    def _ids(self, word: str, variant: int) -> bytes:
-        known = self._known[variant]
+    def _parts(self, word: str) -> tuple[tuple[str, bytes, bytes, int], ...]:
+        """Of each part of a word: itself, its ids without dropout, what the candidates taken add to the key, their number."""
+        known = self._known
         got = known.get(word)
         if got is None:
-            got = self._old[variant].get(word)
+            got = self._old.get(word)
             if got is None:
-                parts = self.vocab.parts(word)
-                if len(parts) == 1:
-                    got = self._make(word, variant)
-                else:
-                    got = b"".join([self._ids(p, variant) for p in parts])
-                    known = self._known[variant]
+                made = []
+                for part in self.vocab.parts(word):
+                    taken: list[tuple] = []
+                    ids = self._ids(part, taken=taken)
+                    adds = array("Q", [a * _A + b * _B + c * _C & _ALL for a, b, c in taken])
+                    made.append((part, ids, adds.tobytes(), len(adds)))
+                got = tuple(made)
             if len(word) <= LONG:
-                if len(known) >= CACHED // self.variants:
-                    self._old[variant] = known
-                    known = self._known[variant] = {}
+                if len(known) >= CACHED // 2:
+                    self._old = known
+                    known = self._known = {}
                 known[word] = got
         return got
 
-    def encode(self, text: str) -> np.ndarray:
+    def encode(self, text: str, document: str = "") -> np.ndarray:
         if not text:
             return np.empty(0, "<u2")
+        whole = text.encode(errors="surrogatepass")
         if SPACE in text:
             text = text.replace(SPACE, _MARK)
         words = self.vocab.words.findall((SPACE if self.vocab.dummy else "") + text.replace(" ", SPACE))
-        if self.variants == 1:
-            return np.frombuffer(b"".join([self._ids(w, 0) for w in words]), "<u2")
-        draw = np.random.default_rng([self.seed & (1 << 63) - 1, zlib.crc32(text.encode(errors="surrogatepass"))])
-        which = draw.integers(0, self.variants, len(words)).tolist()
-        known = self._known
-        parts = [known[v].get(w) or self._ids(w, v) for w, v in zip(words, which, strict=True)]
-        return np.frombuffer(b"".join(parts), "<u2")
+        known, make = self._known.get, self._parts
+        parts = list(chain.from_iterable([known(w) or make(w) for w in words]))
+        out = [p[1] for p in parts]
+        if self.limit:
+            seeds = [self.seed & (1 << 63) - 1, xxhash.xxh3_64_intdigest(whole), xxhash.xxh3_64_intdigest(document.encode())]
+            keys = np.random.Generator(np.random.PCG64(seeds)).integers(0, 1 << 64, len(parts), np.uint64)
+            adds = np.frombuffer(b"".join([p[2] for p in parts]), np.uint64)
+            of = np.repeat(np.arange(len(parts)), [p[3] for p in parts])
+            x = (keys[of] + adds) * np.uint64(_M)
+            x = (x ^ x >> np.uint64(29)) * np.uint64(_M)
+            for i in np.unique(of[x <= np.uint64(self.limit - 1)]).tolist():
+                out[i] = self._ids(parts[i][0], int(keys[i]), self.limit)
+        return np.frombuffer(b"".join(out), "<u2")
 
     def decode(self, ids) -> str:
         pieces = self.vocab.bytes
@@ -182,17 +196,17 @@ class MergeDropout:
 
 
 def encode(
-    docs: DataFrame, model_path: str, seed: int = 42, dropout: float = 0.1, variants: int = 2, id_col: str = "doc_id", text_col: str = "text", ids: bool = False
+    docs: DataFrame, model_path: str, seed: int = 42, dropout: float = 0.1, id_col: str = "doc_id", text_col: str = "text", ids: bool = False
 ) -> DataFrame:
     """One row per input row: id, n_ids, ids_crc32 (unsigned, of little-endian unsigned 32-bit ids), lossless; with ``ids`` the ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = MergeDropout(vocabulary(model_path), seed, dropout, variants)
+        coder = MergeDropout(vocabulary(model_path), seed, dropout)
         for batch in batches:
             sizes, sums, same, all_ids = [], [], [], []
-            for text in batch.column("text"):
+            for i, text in zip(batch.column("id"), batch.column("text"), strict=True):
                 text = text.as_py() or ""
-                got = coder.encode(text)
+                got = coder.encode(text, str(i.as_py()))
                 sizes.append(len(got))
                 sums.append(zlib.crc32(got.astype("<u4").tobytes()))
                 same.append(coder.decode(got) == text)
