@@ -23,14 +23,18 @@ import zlib
 from array import array
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+#: Texts with so many white-space characters in a row go to the vocabulary file's own library.
+BLANKS = 20_000
+LONG_BLANKS = re.compile(r"\s{%d}" % BLANKS)
 SCHEMA = "id {}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -61,12 +65,21 @@ class ByteBpe:
         self._encode = tiktoken.Encoding(
             "file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
         ).encode_ordinary
+        self._path = path
         self._cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
 
     def _segment(self, text: str) -> bytes:
         return array("H", self._encode(text)).tobytes()
 
+    @cached_property
+    def _own(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self._path)
+
     def ids(self, text: str) -> bytes:
+        if len(text) > BLANKS and LONG_BLANKS.search(text):  # which the faster library does not survive
+            return array("H", self._own.encode(text, add_special_tokens=False).ids).tobytes()
         if self._cut and "<|" in text:
             return b"".join(
                 self.special[p].to_bytes(2, "little") if p in self.special else self._segment(p)
@@ -221,5 +234,4 @@ def pack(
         raise ValueError("window must be a power of two")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind.simpleString()]
-    return rows.mapInArrow(_pack(tokenizer_path, window, end_id, arrow), SCHEMA.format(kind.simpleString()))
+    return rows.mapInArrow(_pack(tokenizer_path, window, end_id, to_arrow_type(kind)), SCHEMA.format(kind.simpleString()))

@@ -103,3 +103,19 @@ def test_odd_rows(spark):
     assert sorted((r.id or 0, r.doc_tokens) for r in got if r.doc_tokens == 1) == [(0, 1), (1, 1), (1, 1)]
     assert sum(r.length for r in got if r.id == 2) == next(r.doc_tokens for r in got if r.id == 2)
     assert pack(df.limit(0), PATH).count() == 0
+
+
+def test_long_runs_of_blanks_through_spark(spark):
+    library = Tokenizer.from_file(PATH)
+    texts = ["a" + " " * 2_000_000 + "b", "\n" * 2_000_000, "x " * 5 + "\t \n" * 400_000 + " end", " " * 30_000]
+    df = spark.createDataFrame([(f"d{i}", t) for i, t in enumerate(texts)], "doc_id string, text string")
+    got = {}
+    for r in pack(df, PATH).orderBy("id", "start").collect():
+        got.setdefault(r.id, []).append((r.length, r.ids_crc32))
+    for i, t in enumerate(texts):
+        ids = np.array([*library.encode(t, add_special_tokens=False).ids, 1], "<u4")
+        at = 0
+        for n, crc in got[f"d{i}"]:
+            assert zlib.crc32(ids[at : at + n].tobytes()) == crc
+            at += n
+        assert at == len(ids)
