@@ -16,6 +16,7 @@ A byte goes if some ``length``-byte string over it also starts anywhere else in
 
 With ``words``, every run of that many words that occurs again goes too, however few bytes it has: each word becomes a
 code of CODE bytes, the same steps find the runs of codes that repeat, and these are led back to the bytes of the words.
+They may also be counted only (``n_passages``).
 
 Texts meet their anchors in a join on a hash of the row; rows that repeat both id and text share it and get equal results.
 
@@ -26,7 +27,6 @@ under ``length`` bytes is kept whole. Long texts are worked through in overlappi
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 from functools import cache
 from itertools import repeat
@@ -45,7 +45,7 @@ LENGTH, GRAM = 400, 32
 BUFFER = 1 << 18
 LONGEST_PIECE = 1 << 20
 CODE = 5  # bytes that stand for a word
-_WORD = re.compile(rb"\S+")
+_BLANK = np.isin(np.arange(256), list(b" \t\n\r\f\v"))
 _POS = np.uint64((1 << 26) - 1)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -67,12 +67,16 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return table, *(np.multiply.accumulate(s) for s in steps)
 
 
-def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
-    """Hash of the ``gram`` bytes from each position on."""
+def _room(n: int) -> int:
     size = BUFFER * 2
-    while size < len(data):
+    while size < n:
         size *= 2
-    table, power, inverse = _powers(size)
+    return size
+
+
+def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+    """Hash of the ``gram`` bytes from each position on."""
+    table, power, inverse = _powers(_room(len(data)))
     n = len(data)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(table[data] * power[:n], out=sums[1:])
@@ -336,28 +340,51 @@ def repeated_spans(texts: DataFrame, scratch: Scratch, length: int, gram: int, m
     return equal.unionAll(sorted_out).groupBy("row_hash").agg(F.collect_set("span").alias("spans"))
 
 
-def merged(spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the maximal runs that packed spans cover."""
+def merged(spans: np.ndarray, touching: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs that packed spans cover; if not ``touching``, runs that only touch stay apart."""
     spans = np.sort(spans)
     start, end = spans >> 32, np.maximum.accumulate(spans & 0xFFFFFFFF)
-    new = np.concatenate(([True], start[1:] > end[:-1]))
+    new = np.concatenate(([True], start[1:] > end[:-1] if touching else start[1:] >= end[:-1]))
     return start[new], end[np.append(np.flatnonzero(new)[1:], len(spans)) - 1]
 
 
+def word_places(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of ``data``."""
+    inside = np.concatenate(([False], ~_BLANK[np.frombuffer(data, np.uint8)], [False]))
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    return edges[::2], edges[1::2]
+
+
 def word_codes(data: bytes) -> bytes:
     """The words of ``data``, CODE bytes of hash each."""
-    words = _WORD.findall(data)
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    return hashes.view(np.uint8).reshape(-1, 8)[:, :CODE].tobytes()
+    out = []
+    at, size = 0, LONGEST_PIECE
+    while at < len(data):
+        end = at + size
+        if end < len(data):
+            blanks = np.flatnonzero(_BLANK[np.frombuffer(data[at:end], np.uint8)])
+            if not len(blanks):
+                size *= 2
+                continue
+            end = at + int(blanks[-1]) + 1
+        piece = data[at:end]
+        at, size = end, LONGEST_PIECE
+        start, stop = word_places(piece)
+        table, power, inverse = _powers(_room(len(piece)))
+        sums = np.zeros(len(piece) + 1, np.uint64)
+        np.cumsum(table[np.frombuffer(piece, np.uint8)] * power[: len(piece)], out=sums[1:])
+        hashes = _mix((sums[stop] - sums[start]) * inverse[start])
+        out.append(hashes.view(np.uint8).reshape(-1, 8)[:, :CODE].tobytes())
+    return b"".join(out)
 
 
 def bytes_of_words(data: bytes, spans: np.ndarray, words: int) -> np.ndarray:
     """Packed spans of codes to packed spans of the bytes from their first word to their last."""
-    start, end = merged(spans)
+    start, end = merged(spans, touching=False)
     first, after = -(-start // CODE), end // CODE
     long = after - first >= words
-    at = np.array([m.span() for m in _WORD.finditer(data)], np.int64)
-    return at[first[long], 0] << 32 | at[after[long] - 1, 1]
+    at, to = word_places(data)
+    return at[first[long]] << 32 | to[after[long] - 1]
 
 
 def whole_characters(data: bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -369,26 +396,29 @@ def whole_characters(data: bytes, start: np.ndarray, end: np.ndarray) -> tuple[n
     return start, end
 
 
-def _cut_out(at: int, text_at: int, words: int = 0, whole: bool = False):
+def _cut_out(at: int, text_at: int, words: int = 0, whole: bool = False, cut_words: bool = True):
     """Adds the counts, the digest and the kept bytes. With ``words``, spans of codes follow the spans of bytes."""
     drop = (at, text_at, at + 1) if words else (at, text_at)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, removed, runs, digests, kept = [], [], [], [], []
+            sizes, removed, runs, digests, kept, passages = [], [], [], [], [], []
             coded = batch.column(at + 1) if words else repeat(None, batch.num_rows)
             for text, spans, codes in zip(batch.column(text_at), batch.column(at), coded, strict=True):
                 data = text.as_py() or b""
                 sizes.append(len(data))
-                values = spans.values
+                values = spans.values.to_numpy() if spans.values is not None else np.empty(0, np.int64)
+                passages.append(0)
                 if codes is not None and codes.values is not None and len(codes.values):
                     more = bytes_of_words(data, codes.values.to_numpy(), words)
-                    values = pa.array(more if values is None else np.append(values.to_numpy(), more))
-                if values is None or not len(values):
+                    passages[-1] = len(more)
+                    if cut_words:
+                        values = np.append(values, more)
+                if not len(values):
                     removed.append(0)
                     runs.append(0)
                 else:
-                    start, end = merged(values.to_numpy())
+                    start, end = merged(values)
                     if whole:
                         start, end = whole_characters(data, start, end)
                         start, end = merged(start << 32 | end)
@@ -406,8 +436,13 @@ def _cut_out(at: int, text_at: int, words: int = 0, whole: bool = False):
                     pa.array(runs, pa.int64()),
                     pa.array(digests, pa.string()),
                     pa.array(kept, pa.binary()),
+                    *([pa.array(passages, pa.int64())] if words else []),
+                ],
+                names=[
+                    *(c for k, c in enumerate(batch.schema.names) if k not in drop),
+                    *("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"),
+                    *(["n_passages"] if words else []),
                 ],
-                names=[*(c for k, c in enumerate(batch.schema.names) if k not in drop), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
             )
 
     return run
@@ -424,24 +459,32 @@ def remove_repeats(
     scratch: Scratch | None = None,
     words: int = 0,
     whole: bool = False,
+    cut_words: bool = True,
+    keep: bool = False,
 ) -> DataFrame:
-    """One row per input row: id, row_hash, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that stay).
+    """One row per input row: id, row_hash (or, with ``keep``, all its columns as c0, c1, ...), n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that stay).
 
-    With ``whole``, characters that a cut would split go with it.
+    With ``words`` also n_passages, the maximal runs of that many words or more that occur again; they are cut unless
+    ``cut_words`` is false. With ``whole``, characters that a cut would split go with it.
     """
     if not 1 <= gram < length:
         raise ValueError("gram must be shorter than length")
     scratch = scratch or Scratch(docs.sparkSession)
-    rows = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("row_hash"), F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+    own = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+    id_at, text_at = (F.col(f"c{docs.columns.index(c)}") for c in (id_col, text_col))
+    shown = own.columns if keep else ["id", "row_hash"]
+    rows = own.select(*(own.columns if keep else [id_at.alias("id")]), F.xxhash64(id_at, text_at).alias("row_hash"), text_at.cast("binary").alias("text"))
     spans = scratch.cut(repeated_spans(rows.select("row_hash", "text"), scratch, length, gram, most_contexts, at_once), "spans")
+    found = ["spans"]
+    joined = rows.join(spans, "row_hash", "left")
     if words:
-        own = Scratch(docs.sparkSession)
-        runs = repeated_spans(rows.select("row_hash", "text"), own, words * CODE, gram, most_contexts, at_once, coded=True)
+        more = Scratch(docs.sparkSession)
+        runs = repeated_spans(rows.select("row_hash", "text"), more, words * CODE, gram, most_contexts, at_once, coded=True)
         runs = scratch.cut(runs.withColumnRenamed("spans", "codes"), "codes")
-        own.close()
-        joined = rows.join(spans, "row_hash", "left").join(runs, "row_hash", "left").select("id", "row_hash", "spans", "codes", "text")
-    else:
-        joined = rows.join(spans, "row_hash", "left").select("id", "row_hash", "spans", "text")
-    kind = joined.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, row_hash long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    return joined.mapInArrow(_cut_out(2, 4 if words else 3, words, whole), schema)
+        more.close()
+        joined = joined.join(runs, "row_hash", "left")
+        found.append("codes")
+    joined = joined.select(*shown, *found, "text")
+    fields = [f"{n} {joined.schema[n].dataType.simpleString()}" for n in shown]
+    fields += ["n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string", "kept binary", *(["n_passages long"] if words else [])]
+    return joined.mapInArrow(_cut_out(len(shown), len(shown) + len(found), words, whole, cut_words), ", ".join(fields))

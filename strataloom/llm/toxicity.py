@@ -270,8 +270,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most_bytes
     return fit([r.text for r in got], [r.label for r in got])
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """One row per input row: id and score, or with ``keep`` all columns and ``toxicity``."""
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: bool = False, name: str = "toxicity") -> DataFrame:
+    """One row per input row: id and score, or with ``keep`` all columns and one called ``name``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed size: BUCKETS x DIM floats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,6 +296,6 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         names = [f"c{k}" for k in range(len(docs.columns))]
         rows = docs.toDF(*names).withColumn("scored", F.col(names[docs.columns.index(text_col)]))
         schema = ", ".join(f"{n} {t}" for n, t in rows.dtypes[:-1]) + ", score double"
-        return rows.mapInArrow(run, schema).toDF(*docs.columns, "toxicity")
+        return rows.mapInArrow(run, schema).toDF(*docs.columns, name)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, f"id {rows.dtypes[0][1]}, score double")

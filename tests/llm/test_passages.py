@@ -49,3 +49,13 @@ def test_characters_of_the_input_stay(spark, sf):
     texts = ["own \ufffd one é" + shared + "é\ufffd end", "other \ufffd two ĩ" + shared + "ê rest", "\ufffd"]
     got = staged(spark, texts, sf)
     assert got == {0: "own \ufffd one \ufffd end", 1: "other \ufffd two  rest", 2: "\ufffd"}
+
+
+def test_runs_are_counted_without_being_cut(spark):
+    rng = random.Random(3)
+    shared = [rng.choice("abcdefgh") + rng.choice("ijklm") for _ in range(51)]
+    lists = [[f"x{k}y{i}" for i in range(30)] + shared[: 51 - (k == 2)] + [f"z{k}"] for k in range(3)]
+    rows = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(lists)] + [(9, None)], "doc_id long, text string")
+    got = {r.id: r for r in remove_repeats(rows, words=51, cut_words=False).collect()}
+    assert [got[k].n_passages for k in (0, 1, 2, 9)] == [1, 1, 0, 0]
+    assert all(r.n_removed == 0 and bytes(r.kept).decode() == (" ".join(lists[k]) if k < 9 else "") for k, r in got.items())
