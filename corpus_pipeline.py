@@ -23,45 +23,62 @@ PASSAGE = 51
 
 
 def _with_text(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """The columns of documents in their order, with n_chars of the text as it is now."""
+    """The columns of documents in their order, with n_chars of the text as it is now (a null text has none)."""
     return docs.withColumn("n_chars", F.length("text").cast("long")).select(*columns)
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """``name``, lengthened until ``docs`` has no such column."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that the toxicity classifier rejects."""
+    """Drop the documents that the toxicity classifier rejects, with a score of 0.5 or more.
+
+    Null and empty texts are scored as texts without words. Rows that repeat are each judged, alike. Other columns pass.
+    """
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score(docs, model, keep=True).filter(F.col("toxicity") < 0.5).select(*docs.columns)
+    name = _free(docs, "toxicity")
+    return score(docs, model, keep=True, name=name).filter(F.col(name) < 0.5).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document, that with the least id, of each group of near copies: by SimHash, or 0.8 of five-word shingles."""
+    """Keep one document, that with the least id, of each group of near copies: by SimHash, or 0.8 of five-word shingles.
+
+    A null text counts as empty, and all texts without words are one group. A null id comes after all others. Of rows that
+    share the least id, that with the least hash of id and text stays, once. Other columns pass.
+    """
     groups = near_copy_groups(docs)
-    first = groups.filter("is_first").select(F.col("id").alias("doc_id"), "row_hash").distinct()
-    keyed = docs.withColumn("row_hash", F.xxhash64("doc_id", "text"))
-    kept = keyed.join(first.select("row_hash"), "row_hash", "left_semi")
-    return kept.dropDuplicates(["row_hash"]).select(*docs.columns)
+    name = _free(docs, "row_hash")
+    first = groups.filter("is_first").select(F.col("id").alias("first_id"), F.col("row_hash").alias("first_hash")).distinct()
+    keyed = docs.withColumn(name, F.xxhash64("doc_id", "text"))
+    same = (F.col(name) == F.col("first_hash")) & F.col("doc_id").eqNullSafe(F.col("first_id"))
+    return keyed.join(first, same, "left_semi").dropDuplicates(["doc_id", name]).select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut every run of over 50 words, and every byte string of 400 bytes or more, that occurs more than once.
 
-    Characters that a cut splits go whole; all others stay.
+    Every occurrence goes, the first one too, as in the operator. Characters that a cut splits go whole; all others stay.
+    A null text stays null. Rows that repeat are different places, so what they share goes. Other columns pass.
     """
-    scratch = Scratch(spark)
-    rows = docs.withColumn("row", F.xxhash64(*docs.columns))
-    found = remove_repeats(rows, id_col="row", scratch=scratch, words=PASSAGE, whole=True).filter("n_removed > 0")
-    cut = found.select(F.col("id").alias("row"), F.make_valid_utf8(F.col("kept").cast("string")).alias("kept")).distinct()
-    joined = rows.join(cut, "row", "left").withColumn("text", F.coalesce("kept", "text"))
-    return _with_text(joined, docs.columns)
+    found = remove_repeats(docs, words=PASSAGE, whole=True, keep=True)
+    kept = F.when(F.col("n_removed") > 0, F.make_valid_utf8(F.col("kept").cast("string")))
+    text = f"c{docs.columns.index('text')}"
+    cut = found.withColumn(text, F.coalesce(kept, F.col(text))).select(*(f"c{k}" for k in range(len(docs.columns))))
+    return _with_text(cut.toDF(*docs.columns), docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Put a mark in the place of each piece of personal data."""
+    """Put a mark in the place of each piece of personal data. A null text stays null; other columns pass."""
     return _with_text(redact(docs), docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack the documents into sequences of at most 2048 tokens; one row a piece."""
+    """Pack the documents into sequences of at most 2048 tokens; one row a piece. A null text is the end id alone."""
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json")).withColumnRenamed("id", "doc_id")
 
 
