@@ -2,8 +2,9 @@
 
 Codes: vectors are centred, turned by principal axes and by a rotation learnt so that the signs lose least (iterative
 quantisation), and their signs are the code. A code is split into 16-bit substrings, each with an index of its own: rows
-ordered by substring, and where each value starts. A query probes, in every index, all values within radius // m bits
-(m substrings); by the pigeonhole principle that meets every code within the radius in at least one index. What is met
+ordered by substring, and where each value starts. With m substrings and a radius of m * a + b, a query probes all values
+within a bits in the first b + 1 indexes and within a - 1 bits in the others; by the pigeonhole principle that meets every
+code within the radius in at least one index. What is met
 is held to the radius over the whole code, and the rest is ranked by distance in double precision.
 
 The turning is fitted on at most SAMPLE vectors. The radius is the least that keeps, in the sample, TARGET of the nearest
@@ -106,8 +107,12 @@ class MultiIndex:
     def within(self, code: np.ndarray, radius: int) -> np.ndarray:
         """Every row whose code differs from ``code`` in at most ``radius`` bits."""
         met = np.zeros(len(self.codes), bool)
+        each, over = divmod(radius, self.codes.shape[1])
         for part, (order, starts) in enumerate(zip(self.order, self.starts, strict=True)):
-            values = np.int64(code[part]) ^ self.masks(radius // self.codes.shape[1])
+            allowed = each if part <= over else each - 1
+            if allowed < 0:
+                break
+            values = np.int64(code[part]) ^ self.masks(allowed)
             low, n = starts[values], starts[values + 1] - starts[values]
             low, n = low[n > 0], n[n > 0]
             at = np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if len(n) else n
