@@ -20,6 +20,15 @@ from strataloom.runtime import Scratch
 
 #: Words of the shortest passage that may not repeat.
 PASSAGE = 51
+#: Rows that go to Python at once where the session does not say: texts are long, and each task holds a few such batches.
+BATCH = 1000
+
+
+def _bounded(spark: SparkSession) -> None:
+    """Set the size of Arrow batches for the stages, unless the session already differs from Spark's own default."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH))
 
 
 def _with_text(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -40,6 +49,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts are scored as texts without words. Rows that repeat are each judged, alike. Other columns pass.
     """
+    _bounded(spark)
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     name = _free(docs, "toxicity")
     return score(docs, model, keep=True, name=name).filter(F.col(name) < 0.5).select(*docs.columns)
@@ -51,6 +61,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     A null text counts as empty, and all texts without words are one group. A null id comes after all others. Of rows that
     share the least id, that with the least hash of id and text stays, once. Other columns pass.
     """
+    _bounded(spark)
     groups = near_copy_groups(docs)
     name = _free(docs, "row_hash")
     first = groups.filter("is_first").select(F.col("id").alias("first_id"), F.col("row_hash").alias("first_hash")).distinct()
@@ -65,6 +76,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Every occurrence goes, the first one too, as in the operator. Characters that a cut splits go whole; all others stay.
     A null text stays null. Rows that repeat are different places, so what they share goes. Other columns pass.
     """
+    _bounded(spark)
     found = remove_repeats(docs, words=PASSAGE, whole=True, keep=True)
     kept = F.when(F.col("n_removed") > 0, F.make_valid_utf8(F.col("kept").cast("string")))
     text = f"c{docs.columns.index('text')}"
@@ -74,11 +86,13 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Put a mark in the place of each piece of personal data. A null text stays null; other columns pass."""
+    _bounded(spark)
     return _with_text(redact(docs), docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack the documents into sequences of at most 2048 tokens; one row a piece. A null text is the end id alone."""
+    _bounded(spark)
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json")).withColumnRenamed("id", "doc_id")
 
 
