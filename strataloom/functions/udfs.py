@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ast
 import json
-import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -13,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from strataloom.functions.endpoints import endpoints
+
 
 def _text(f):
     @F.pandas_udf(StringType())
@@ -75,36 +76,11 @@ def python_facts(source: str) -> list[tuple[str, str, str, int, int]]:
     return out
 
 
-_STRING = r"""(["'])([^"'\\\r\n]+)"""
-_METHOD = "get|post|put|patch|delete|options|head"
-#: (protocol, role, pattern): the first group is a method or operation, the last a resource.
-ENDPOINTS = [
-    ("http", "server", re.compile(rf"@?\b(?:app|router|server|blueprint)\s*\.\s*({_METHOD})\s*\(\s*{_STRING}\2", re.I)),
-    ("http", "client", re.compile(rf"\b(?:axios|requests|httpx|client)\s*\.\s*({_METHOD})\s*\(\s*{_STRING}\2", re.I)),
-    ("http", "client", re.compile(rf"\b(fetch)\s*\(\s*{_STRING}\2", re.I)),
-    ("rpc", "server", re.compile(rf"\brpc\w*\s*\.\s*(register|handle|method)\s*\(\s*{_STRING}\2", re.I)),
-    ("rpc", "client", re.compile(rf"\brpc\w*\s*\.\s*(call|request|invoke)\s*\(\s*{_STRING}\2", re.I)),
-    ("queue", "consumer", re.compile(rf"\b(?:queue|broker|consumer)\s*\.\s*(subscribe|consume|handle|on)\s*\(\s*{_STRING}\2", re.I)),
-    ("queue", "producer", re.compile(rf"\b(?:queue|broker|producer)\s*\.\s*(publish|send|emit|produce)\s*\(\s*{_STRING}\2", re.I)),
-]
-_TOKEN = re.compile(r"""("(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`)|(#[^\n]*)|(//[^\n]*|/\*.*?\*/)""", re.S)
-
-
-def without_comments(source: str, language: str) -> str:
-    """The source with comments as blanks of the same length; strings stay."""
-    group = 2 if language == "python" else 3
-    return _TOKEN.sub(lambda m: re.sub(r"[^\n]", " ", m[0]) if m[group] else m[0], source)
-
-
-def endpoints(source: str, language: str) -> list[tuple[str, str, str, str, int]]:
-    """(protocol, role, operation, resource, line) of the calls and handlers in a source."""
-    plain = without_comments(source, language)
-    out = []
-    for protocol, role, pattern in ENDPOINTS:
-        for m in pattern.finditer(plain):
-            operation = "get" if m[1].lower() == "fetch" else m[1].lower()
-            out.append((protocol, role, operation, m[3], plain.count("\n", 0, m.start()) + 1))
-    return sorted(out, key=lambda e: (e[4], e[:4]))
+def owned(found: list[tuple], facts: list[tuple]) -> list[tuple]:
+    """Endpoints, those without an owner given to the innermost function around them."""
+    around = sorted((last - first, first, last, qualified) for fact, _, qualified, first, last in facts if fact in ("function", "method"))
+    inner = lambda line: next((q for _, a, b, q in around if a <= line <= b), None)
+    return [(*e[:4], e[4] or inner(e[5]), e[5]) for e in found]
 
 
 def extract(files: DataFrame, what: str) -> DataFrame:
@@ -112,13 +88,15 @@ def extract(files: DataFrame, what: str) -> DataFrame:
     if what == "facts":
         names, schema = ["fact", "name", "qualified", "first", "last"], "path string, fact string, name string, qualified string, first int, last int"
     else:
-        names, schema = ["protocol", "role", "operation", "resource", "line"], "path string, protocol string, role string, operation string, resource string, line int"
+        names = ["protocol", "role", "operation", "resource", "owner", "line"]
+        schema = "path string, protocol string, role string, operation string, resource string, owner string, line int"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for path, language, content in zip(b["path"], b["language"], b["content"], strict=True):
-                found = (python_facts(content or "") if language == "python" else []) if what == "facts" else endpoints(content or "", language)
+                facts = python_facts(content or "") if language == "python" else []
+                found = facts if what == "facts" else owned(endpoints(content or "", language), facts)
                 rows += [(path, *r) for r in found]
             yield pd.DataFrame(rows, columns=["path", *names])
 

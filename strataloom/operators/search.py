@@ -13,10 +13,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataloom.functions import expr
+from strataloom.runtime import Scratch
 
 K1, B = 1.2, 0.75
 #: Terms or query vectors are broadcast up to this many; beyond, they are shuffled.
 MOST_BROADCAST = 10_000
+#: Terms are part of an expression up to this many.
+MOST_TERMS = 1000
 
 
 def tokens(text: Column) -> Column:
@@ -29,23 +32,47 @@ def small(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def bm25(docs: DataFrame, queries: DataFrame, prefix: bool = False) -> DataFrame:
+def heads(toks: Column, n: int) -> Column:
+    """The first ``n`` characters of the tokens that have so many."""
+    return F.transform(F.filter(toks, lambda t: F.length(t) >= n), lambda t: F.substring(t, 1, n))
+
+
+def asked(toks: Column, terms: list[str], prefix: bool) -> Column:
+    """The tokens that are asked for, as the terms they stand for; with ``prefix``, once for each term they begin with."""
+    if not prefix:
+        return F.filter(toks, lambda t: t.isin(terms))
+    by_length: dict[int, list[str]] = {}
+    for term in terms:
+        by_length.setdefault(len(term), []).append(term)
+    return F.flatten(F.array(*(F.filter(heads(toks, n), lambda t: t.isin(by_length[n])) for n in by_length)))  # noqa: B023  called at once
+
+
+def bm25(docs: DataFrame, queries: DataFrame, prefix: bool = False, scratch: Scratch | None = None) -> DataFrame:
     """(query_id, doc_id, score) for ``docs(doc_id, text)`` and ``queries(query_id, term)``; higher is better.
 
-    With ``prefix`` a term stands for every token that begins with it: its frequencies count as one phrase's. The terms
-    meet the exploded tokens before anything is shuffled, so only postings of asked terms are.
+    With ``prefix`` a term stands for every token that begins with it: its frequencies count as one phrase's. Texts are
+    read and tokenised once: what is written is each text's length and those of its tokens that are asked for. Up to
+    MOST_TERMS terms are part of the expression; more meet the tokens (or their heads of the asked lengths) in a join.
     """
+    scratch = scratch or Scratch(docs.sparkSession)
+    distinct = queries.select("term").filter(F.length("term") > 0).distinct()
+    terms = sorted(r.term for r in distinct.limit(MOST_TERMS + 1).collect())
     words = docs.select("doc_id", tokens(F.col("text")).alias("toks"))
-    stats = words.agg(F.count("*").alias("n"), F.avg(F.size("toks")).alias("avgdl"))
-    terms = small(queries.select("term").distinct())
-    hit = F.col("tok").startswith(F.col("term")) if prefix else F.col("tok") == F.col("term")
-    postings = words.select("doc_id", F.size("toks").alias("dl"), F.explode("toks").alias("tok")).join(terms, hit)
-    tf = postings.groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))
+    if len(terms) <= MOST_TERMS:
+        found = scratch.cut(words.select("doc_id", F.size("toks").alias("dl"), asked(F.col("toks"), terms, prefix).alias("hits")), "hits")
+        postings = found.select("doc_id", "dl", F.explode("hits").alias("term"))
+    else:
+        found = scratch.cut(words.select("doc_id", F.size("toks").alias("dl"), F.col("toks").alias("hits")), "hits")
+        lengths = [r.n for r in distinct.select(F.length("term").alias("n")).distinct().collect()] if prefix else []
+        units = F.flatten(F.array(*(heads(F.col("hits"), n) for n in lengths))) if prefix else F.col("hits")
+        postings = found.select("doc_id", "dl", F.explode(units).alias("term")).join(distinct, "term", "left_semi")
+    stats = found.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    tf = scratch.cut(postings.groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf")), "frequencies")
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.greatest(F.lit(1e-6), F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = tf.join(df, "term").join(F.broadcast(stats)).select("term", "doc_id", (idf * weight).alias("w"))  # one row of statistics
-    return scored.join(small(queries), "term").groupBy("query_id", "doc_id").agg(F.sum("w").alias("score"))
+    return scored.join(queries, "term").groupBy("query_id", "doc_id").agg(F.sum("w").alias("score"))
 
 
 def top_k(scored: DataFrame, k: int, by: str = "query_id", order: list | None = None) -> DataFrame:

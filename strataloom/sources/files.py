@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import fnmatch
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,10 @@ from strataloom.functions import expr
 MOST_BYTES = 2 * 1024 * 1024
 # What is never scanned.
 EXCLUDED = [".git/", "node_modules/", "dist/", "build/", "out/", "coverage/", ".next/", ".turbo/", ".cache/", "*.min.js", "*.map"]
-SECRET = r"(?i)(^|/)\.env(\.|$)|\.(pem|key|p12|pfx|jks)$|(^|/)(credentials?|secrets?)(\.|/|$)"
+# Files and folders that hold secrets.
+SECRET_STARTS = [".env"]
+SECRET_ENDINGS = [".pem", ".key", ".p12", ".pfx", ".jks"]
+SECRET_NAMES = ["credential", "credentials", "secret", "secrets"]
 
 
 def ignored(path: Column, rules: list[str]) -> Column:
@@ -30,6 +34,16 @@ def ignored(path: Column, rules: list[str]) -> Column:
     return out
 
 
+def secret(path: Column) -> Column:
+    """Whether a file or folder of a relative path is named like one that holds secrets."""
+    parts = F.split(F.lower(path), "/")
+    name = F.element_at(parts, -1)
+    env = [(name == s) | name.startswith(s + ".") for s in SECRET_STARTS]
+    ending = [name.endswith(e) for e in SECRET_ENDINGS]
+    named = F.exists(parts, lambda p: F.split(p, r"\.")[0].isin(SECRET_NAMES))
+    return reduce(lambda a, b: a | b, [*env, *ending, named])
+
+
 def path_key(path: Column, case_sensitive: bool = True) -> Column:
     plain = F.regexp_replace(F.regexp_replace(path, r"\\", "/"), r"^(\./)+", "")
     return plain if case_sensitive else F.lower(plain)
@@ -38,10 +52,11 @@ def path_key(path: Column, case_sensitive: bool = True) -> Column:
 def scan(spark: SparkSession, root: str, rules: list[str] | None = None, most_bytes: int = MOST_BYTES, content: bool = True) -> DataFrame:
     """(path, language, size, modified, hash, content) of the source files under ``root``; metadata only without content."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = root.rstrip("/").removeprefix("file:").lstrip("/")
-    path = F.regexp_replace("path", rf"^[a-z0-9]+:/*{base}/", "")
+    base = root.rstrip("/").removeprefix("file:").lstrip("/") + "/"
+    full = F.regexp_replace("path", r"^[a-z0-9]+:/*", "")
+    path = F.when(full.startswith(base), F.substring(full, F.lit(len(base) + 1), F.length(full))).otherwise(full)
     found = raw.withColumn("path", path_key(path)).withColumn("language", expr.language_of(F.col("path")))
-    found = found.filter(F.col("language").isNotNull() & (F.col("length") <= most_bytes) & ~F.col("path").rlike(SECRET))
+    found = found.filter(F.col("language").isNotNull() & (F.col("length") <= most_bytes) & ~secret(F.col("path")))
     found = found.filter(~ignored(F.col("path"), [*EXCLUDED, *(rules or [])]))
     columns = ["path", "language", F.col("length").alias("size"), F.col("modificationTime").alias("modified")]
     if content:
