@@ -27,4 +27,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Callable], Query]:
     return register
 
 
-from strataloom.plans import graphs, records, relational, retrieval, windows  # noqa: E402, F401  they register themselves
+from strataloom.plans import graphs, lifecycle, records, relational, retrieval, windows  # noqa: E402, F401  they register themselves

@@ -225,3 +225,45 @@ def nearest_rank(values: Column, p: float) -> Column:
     """Of an array: the value at floor(n * p) of the sorted values, clamped."""
     at = F.least(F.floor(F.size(values) * F.lit(p)), F.size(values) - 1)
     return F.element_at(F.sort_array(values), (at + 1).cast("int"))
+
+
+def redacted_error(text: Column) -> Column:
+    """A message without what tells one machine from another: paths, then unique ids, then long hexadecimal numbers, then numbers."""
+    # What goes, and its mark.
+    marks = [
+        (r"[A-Za-z]:[\\/]\S+|/(?:[^\s/]+/)+\S*", "<path>"),
+        (r"(?i)[0-9a-f]{8}-[0-9a-f-]{27,}", "<uuid>"),
+        (r"(?i)\b(?:0x)?[0-9a-f]{8,}\b", "<id>"),
+        (r"\b[0-9]+(?:\.[0-9]+){0,3}\b", "<n>"),
+        (r"\s+", " "),
+    ]
+    for pattern, mark in marks:
+        text = F.regexp_replace(text, pattern, mark)
+    return F.trim(text)
+
+
+# Which kinds of relation an intent shows; any other intent shows all.
+INTENTS = {"architecture": ["CONTAINS", "IMPORTS", "EXTENDS", "IMPLEMENTS", "EXPORTS"], "debugging": ["CALLS", "REFERENCES", "IMPORTS"]}
+
+
+def in_intent(intent: Column, kind: Column) -> Column:
+    shown = F.lit(True)
+    for name, kinds in INTENTS.items():
+        shown = F.when(intent == name, kind.isin(kinds)).otherwise(shown)
+    return shown
+
+
+def lexical_score(exact: Column, qualified: Column, bm25: Column) -> Column:
+    """1 for the name itself, 0.95 for the qualified name, else what falls as BM25 grows."""
+    return F.when(exact, 1.0).when(qualified, 0.95).otherwise(1 / (1 + F.abs(bm25)))
+
+
+def utf16_units(text: Column) -> Column:
+    """Length in UTF-16 code units."""
+    return F.length(F.encode(text, "UTF-16BE")) / 2
+
+
+def within_folder(path: Column, folder: str) -> Column:
+    """Whether a path is ``folder`` or lies in it."""
+    root = folder.rstrip("/")
+    return (path == root) | path.startswith(root + "/")

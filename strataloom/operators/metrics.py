@@ -47,3 +47,39 @@ def edge_scores(found: DataFrame, gold: DataFrame, key: list[str]) -> DataFrame:
 def gates(recall: float, ndcg: float) -> tuple[float, float]:
     """What a baseline asks of the next release: (recall, ndcg)."""
     return (max(0.8, recall + 0.15) if recall < 0.75 else 0.9), min(1.0, ndcg + 0.08)
+
+
+def _six(value):
+    return F.floor(value * 1e6 + 0.5) / 1e6
+
+
+def macro_micro(scores: DataFrame) -> DataFrame:
+    """One row of ``scores(query_id, hits, relevant)``: the mean of the queries' recall, and the recall of all together."""
+    each = F.when(F.col("relevant") == 0, 1.0).otherwise(F.col("hits") / F.col("relevant"))
+    both = scores.agg(F.avg(each).alias("macro"), F.sum("hits").alias("h"), F.sum("relevant").alias("r"))
+    return both.select(_six(F.col("macro")).alias("macro"), _six(F.when(F.col("r") == 0, 1.0).otherwise(F.col("h") / F.col("r"))).alias("micro"))
+
+
+def binary_scores(ranked: DataFrame, gold: DataFrame, k: int) -> DataFrame:
+    """(query_id, recall, ndcg) of ``ranked(query_id, item, rank)`` for ``gold(query_id, target)``, by substring.
+
+    Each target gains once, at the first item that holds it; an item gains for one target only.
+    """
+    top = ranked.filter(F.col("rank") <= k)
+    hit = top.join(gold, "query_id").filter(F.col("item").contains(F.col("target")))
+    found = hit.groupBy("query_id").agg(F.count_distinct("target").alias("found"))
+    # items in order of rank take the least target that no earlier item took
+    pairs = hit.groupBy("query_id", "rank").agg(F.array_sort(F.collect_set("target")).alias("targets"))
+    per_query = pairs.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "targets"))).alias("items"))
+    start = F.struct(F.array().cast("array<string>").alias("taken"), F.lit(0.0).alias("dcg"))
+
+    def step(state, item):
+        free = F.array_except(item["targets"], state["taken"])
+        gain = F.when(F.size(free) > 0, 1 / F.log2(item["rank"] + 1.0)).otherwise(0.0)
+        return F.struct(F.concat(state["taken"], F.slice(free, 1, 1)).alias("taken"), (state["dcg"] + gain).alias("dcg"))
+
+    gained = per_query.select("query_id", F.aggregate("items", start, step)["dcg"].alias("dcg"))
+    sizes = gold.groupBy("query_id").agg(F.count_distinct("target").alias("n"))
+    best = F.aggregate(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(k)).cast("int")), F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1.0))
+    joined = sizes.join(found, "query_id", "left").join(gained, "query_id", "left")
+    return joined.select("query_id", _six(F.coalesce("found", F.lit(0)) / F.col("n")).alias("recall"), _six(F.coalesce("dcg", F.lit(0.0)) / best).alias("ndcg"))

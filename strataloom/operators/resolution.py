@@ -86,3 +86,15 @@ def static_paths(pages: DataFrame) -> DataFrame:
     """(page_id, path): literal href paths of ``pages(page_id, html)``."""
     refs = pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r'href="([^"]*)"'), F.lit(1))).alias("href"))
     return refs.select("page_id", expr.static_path(F.col("href")).alias("path")).filter("path is not null")
+
+
+def resolve_aliases(names: DataFrame, aliases: DataFrame, most: int = 8) -> DataFrame:
+    """(name, target) of ``names(name)`` through ``aliases(name, target)``, each with one target, in at most ``most`` steps.
+
+    A name that is no alias stands for itself; one that leads into a circle, or further than that, for nothing (null).
+    """
+    step = aliases.select(F.col("name").alias("now"), F.col("target").alias("next"))
+    walk = names.select("name", F.col("name").alias("now"))
+    for _ in range(most):
+        walk = walk.join(step, "now", "left").select("name", F.coalesce("next", "now").alias("now"))
+    return walk.join(step, "now", "left").select("name", F.when(F.col("next").isNull(), F.col("now")).alias("target"))

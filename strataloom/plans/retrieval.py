@@ -52,9 +52,9 @@ def exact_pin_search(t):
     return rows.orderBy(F.desc("pinned"), "p_name", "p_partkey").limit(80)
 
 
-@query("like_fallback_search", "select p_partkey, p_name from part where p_name like '%7%' or p_type like '%TIN%'")
+@query("like_fallback_search", "select p_partkey, p_name from part where p_name like '%anv%' or p_type like '%STAN%'")
 def like_fallback_search(t):
-    return t("part").filter(F.col("p_name").like("%7%") | F.col("p_type").like("%TIN%")).select("p_partkey", "p_name")
+    return t("part").filter(F.col("p_name").like("%anv%") | F.col("p_type").like("%STAN%")).select("p_partkey", "p_name")
 
 
 @query("vector_validate", """select vec_id, case when abs(sqrt(list_inner_product(embedding::double[], embedding::double[])) - 1) > 0.001 then 'norm' else 'ok' end as state from embeddings""")
@@ -210,8 +210,11 @@ def duplicate_waste(t):
     return d.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.sum(F.when(F.col("place") > 1, F.col("tokens")).otherwise(0)).alias("wasted"))
 
 
-@query("recall_ranked", f"""with {_ranked_sql(500)} select query_id, doc_id, row_number() over (partition by query_id order by quality desc, rank) as place from ranked join labels using (doc_id) where toxic = 0""")
+@query("recall_ranked", f"""with {BM25_SQL.replace("@HIT@", "tok = term")}, p as (select query_id, doc_id, quality, floor(score * 1e6 + 0.5) as s from bm join labels using (doc_id) where toxic = 0)
+ select query_id, doc_id, row_number() over (partition by query_id order by quality desc, s desc, doc_id) as place from p qualify place <= 200""")
 def recall_ranked(t):
-    """Ranked records that pass the gate (labelled, not toxic), better ones first."""
-    passed = _ranked(t, 500).join(t("labels").filter("toxic = 0"), "doc_id")
-    return passed.select("query_id", "doc_id", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("quality"), "rank")).cast("long").alias("place"))
+    """The first records of those that pass the gate (labelled, not toxic), better ones first; the gate comes before the cut."""
+    scored = search.bm25(t("documents").select("doc_id", "text"), terms(t))
+    passed = scored.join(t("labels").filter("toxic = 0"), "doc_id")
+    best = search.top_k(passed, 200, order=[F.desc("quality"), F.desc(F.floor(F.col("score") * 1e6 + 0.5)), F.asc("doc_id")])
+    return best.select("query_id", "doc_id", F.col("rank").cast("long").alias("place"))

@@ -1,12 +1,13 @@
 """Golden cases and differential tests of the operators."""
 
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from strataloom.functions import expr
-from strataloom.operators import graph, metrics, overlay, records, search
+from strataloom.operators import graph, lifecycle, metrics, overlay, records, resolution, search
 from strataloom.sources import files
 
 
@@ -179,3 +180,45 @@ def test_stream_equals_batch(spark, tmp_path):
             last[r.record] = r
     want = {r.record: (r.access_count, r.last_access) for r in records.folded(events_as_log(table)).collect()}
     assert {k: (r.access_count, r.last_access) for k, r in last.items()} == want
+
+
+def test_claims_hold_for_their_lease(spark):
+    rows = [("j", "a", 0), ("j", "b", 10), ("j", "a", 20), ("j", "b", 45), ("j", "b", 50), ("j", "a", 60), ("k", "b", 5)]
+    df = spark.createDataFrame(rows, "job string, worker string, s int").selectExpr("job", "worker", "timestamp_seconds(s) as at")
+    got = sorted((r.job, r.worker, int(r.at.timestamp())) for r in lifecycle.granted_claims(df).collect())
+    assert [(j, w, s % 100) for j, w, s in got] == [("j", "a", 0), ("j", "a", 20), ("j", "b", 50), ("k", "b", 5)]
+
+
+def test_health_of_components(spark):
+    logs = {"new": "y", "good": "nyy", "back": "yny", "bad": "ynn", "dead": "nnn"}
+    rows = [(c, x == "y", i, i) for c, log in logs.items() for i, x in enumerate(log)]
+    df = spark.createDataFrame(rows, "component string, ok boolean, at int, id int")
+    assert {r.component: r.health for r in lifecycle.health(df).collect()} == {"new": "healthy", "good": "healthy", "back": "recovered", "bad": "degraded", "dead": "failed"}
+
+
+def test_aliases_of_circles_and_long_chains(spark):
+    names = spark.createDataFrame([(n,) for n in "abcxyz"] + [(f"n{i}",) for i in range(12)], "name string")
+    links = [("a", "b"), ("b", "c"), ("x", "y"), ("y", "x")] + [(f"n{i}", f"n{i + 1}") for i in range(11)]
+    got = {r.name: r.target for r in resolution.resolve_aliases(names, spark.createDataFrame(links, "name string, target string")).collect()}
+    assert [got[n] for n in "abcxyz"] == ["c", "c", "c", None, None, "z"]
+    assert got["n2"] is None and got["n3"] == "n11" and got["n11"] == "n11"
+
+
+def test_binary_scores_match_a_walk_down_the_ranking(spark):
+    rng = random.Random(5)
+    ranked, gold, want = [], [], {}
+    for q in range(12):
+        targets = sorted({"".join(rng.choice("abc") for _ in range(rng.randrange(1, 3))) for _ in range(rng.randrange(1, 5))})
+        items = ["".join(rng.choice("abcd") for _ in range(4)) for _ in range(8)]
+        left, dcg = list(targets), 0.0
+        for i, item in enumerate(items[:5]):
+            hit = next((x for x in left if x in item), None)
+            if hit:
+                left.remove(hit)
+                dcg += 1 / math.log2(i + 2)
+        best = sum(1 / math.log2(i + 2) for i in range(min(len(targets), 5)))
+        want[str(q)] = (round(sum(any(x in i for i in items[:5]) for x in targets) / len(targets), 5), round(dcg / best, 5))
+        ranked += [(str(q), item, i + 1) for i, item in enumerate(items)]
+        gold += [(str(q), x) for x in targets]
+    got = metrics.binary_scores(spark.createDataFrame(ranked, "query_id string, item string, rank int"), spark.createDataFrame(gold, "query_id string, target string"), 5)
+    assert {r.query_id: (round(r.recall, 5), round(r.ndcg, 5)) for r in got.collect()} == want
