@@ -3,8 +3,9 @@
 Each text's distinct shingles give BANDS x ROWS least hashes. Texts that agree on a whole band meet; at a similarity of 0.8
 a pair misses every band once in 2,900 times, above that less often. Of those that meet, pairs whose least hashes agree
 often enough are held against each other by their whole shingle sets, so a link is never a guess. Equal shingle sets are
-merged first. Large buckets first link each text with a leader only; what that leaves apart is compared in a second round,
-so dense groups cost few comparisons and a chain is not broken.
+merged first. Large buckets first hold each text against a few leaders only, those in the middle of the bucket; all pairs
+that this leaves in different groups are compared in a second round, with their shingle sets at hand, and only the links
+that bring groups together leave it: dense groups cost few rows, and a chain is not broken.
 
 Rows: texts without words have no shingles and link by their fingerprint only. Nulls, repeats and ids as in ``simhash``.
 """
@@ -28,7 +29,9 @@ WIDTH, LEAST = 5, 0.8
 BANDS, ROWS = 20, 5
 #: Least hashes that may disagree beyond what ``least`` lets expect: over three standard deviations of an estimate.
 MARGIN = 0.13
-SMALL = 8
+SMALL, LEADERS = 8, 4
+#: Shingle sets of up to so many travel whole with the texts of dense buckets.
+WHOLE = 512
 _TIMES = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -80,30 +83,74 @@ def _meeting(least: float):
     """Over rows in order of band: the pairs to verify. Rows of one root (second round) are not compared again."""
     enough = least - MARGIN
 
-    def pairs(node: np.ndarray, sig: np.ndarray, root: np.ndarray, second: bool) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    def led(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(leader, other) places: the row nearest to what most rows have leads, then that among the rows left, and so on.
+
+        A row is led by at most LEADERS others, and by none after one that it is ``least`` like by the estimate.
+        """
+        n = len(sig)
+        free, times = np.ones(n, bool), np.zeros(n, np.int64)
         left, right = [], []
-        n = len(node)
-        free = np.ones(n, bool)
-        for i in range(n - 1):
-            if not second and n > SMALL and not free[i]:
+        while free.sum() > 1:
+            rows = np.flatnonzero(free)
+            some = sig[rows]
+            usual = np.array([np.bincount(c, minlength=256).argmax() for c in some.T], np.uint8)
+            leader = rows[(some == usual).mean(axis=1).argmax()]
+            free[leader] = False
+            other = rows[rows != leader]
+            like = (sig[other] == sig[leader]).mean(axis=1)
+            near = other[like >= enough]
+            times[near] += 1
+            free[other[like >= least]] = False
+            free[times >= LEADERS] = False
+            left.append(np.full(len(near), leader))
+            right.append(near)
+        return (np.concatenate(left), np.concatenate(right)) if left else (np.empty(0, np.int64),) * 2
+
+    def pairs(node: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if len(node) > SMALL:
+            a, b = led(sig)
+        else:
+            a, b = np.triu_indices(len(node), 1)
+            near = (sig[a] == sig[b]).mean(axis=1) >= enough
+            a, b = a[near], b[near]
+        return node[a], node[b]
+
+    def joined(t: pa.Table, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(a, b, sure) of a bucket whose rows have several roots: every pair of rows of different roots is looked at.
+
+        Where both shingle sets are whole, ``sure`` links are found here, and only those that bring groups together are
+        given. Other pairs that the estimate allows are to be verified.
+        """
+        node, size = t.column("shingled").to_numpy(), t.column("size").to_numpy()
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("feats")]
+        root = np.unique(t.column("root").to_numpy(), return_inverse=True)[1]
+        common = np.bincount(root).argmax()
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for i in np.flatnonzero(root != common):
+            other = np.flatnonzero(root != root[i])
+            near = other[(sig[other] == sig[i]).mean(axis=1) >= enough]
+            if not len(near):
                 continue
-            other = np.arange(i + 1, n)
-            if second:
-                other = other[root[other] != root[i]]
-            elif n > SMALL:
-                other = other[free[other]]
-            near = other[(sig[other] == sig[i]).mean(axis=1) >= enough] if len(other) else other
-            free[near] = False
-            left.append(np.full(len(near), node[i]))
-            right.append(node[near])
-        return left, right
+            whole = near[(size[near] <= WHOLE) & (size[i] <= WHOLE)]
+            if len(whole):
+                hits = np.isin(np.concatenate([sets[j] for j in whole]), sets[i])
+                shared = np.add.reduceat(hits, np.concatenate(([0], np.cumsum(size[whole])[:-1])), dtype=np.int64)
+                for j in whole[shared / (size[whole] + size[i] - shared) >= least].tolist():
+                    if root[j] != root[i]:
+                        out.append((node[[i]], node[[j]], np.array([True])))
+                        root[root == root[i]] = root[j]
+            part = near[(size[near] > WHOLE) | (size[i] > WHOLE)]
+            part = part[(root[part] != root[i])]
+            out.append((np.full(len(part), node[i]), node[part], np.zeros(len(part), bool)))
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool))
 
     def solve(parts: list[pa.RecordBatch], second: bool) -> pa.RecordBatch:
         t = pa.Table.from_batches(parts)
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
-        left, right = pairs(t.column("shingled").to_numpy(), sig, t.column("root").to_numpy(), second)
-        a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right))
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        a, b, sure = joined(t, sig) if second else (*pairs(t.column("shingled").to_numpy(), sig), None)
+        sure = np.zeros(len(a), bool) if sure is None else sure
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(sure)], names=["a", "b", "sure"])
 
     def rounds(second: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,6 +192,13 @@ def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("shingled"), pa.array(sets, pa.binary())], names=["shingled", "feats"])
 
 
+def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [shingle_set(t.as_py()) for t in batch.column("text")]
+        kept = [x.tobytes() if len(x) <= WHOLE else b"" for x in sets]
+        yield pa.RecordBatch.from_arrays([batch.column("shingled"), pa.array([len(x) for x in sets], pa.int64()), pa.array(kept, pa.binary())], names=["shingled", "size", "feats"])
+
+
 def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, scratch: Scratch | None = None) -> DataFrame:
     """One row per input row: id, row_hash, component_id (least id of the group), is_first."""
     spark = docs.sparkSession
@@ -159,23 +213,31 @@ def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     banded = sets.select("shingled", "sig", F.explode("bands").alias("band"))
     meet = _meeting(least)
 
-    def verified(rooted: DataFrame, second: bool) -> DataFrame:
-        dealt = rooted.repartition(shuffle_partitions(spark), "band").sortWithinPartitions("band", "shingled")
-        found = scratch.cut(dealt.mapInArrow(meet(second), "a long, b long").distinct(), "candidates")
-        named = found.select(F.explode(F.array("a", "b")).alias("shingled")).distinct()
-        chosen = sets.select("shingled", "row_hash").join(named, "shingled", "left_semi")
-        texts = rows.join(chosen, "row_hash").select("shingled", "text").dropDuplicates(["shingled"])
-        feats = scratch.cut(texts.mapInArrow(_shingled, "shingled long, feats binary"), "shingles", "zstd")
-        with_a = join_heavy(found.withColumnRenamed("a", "shingled"), feats, ["shingled"]).select(F.col("shingled").alias("a"), "b", F.col("feats").alias("of_a"))
+    def texts_of(some: DataFrame) -> DataFrame:
+        chosen = sets.select("shingled", "row_hash").join(some.select("shingled").distinct(), "shingled", "left_semi")
+        return rows.join(chosen, "row_hash").select("shingled", "text").dropDuplicates(["shingled"])
+
+    def met(bucketed: DataFrame, second: bool) -> DataFrame:
+        """The links among the rows of each band's bucket."""
+        dealt = bucketed.repartition(shuffle_partitions(spark), "band").sortWithinPartitions("band", "shingled")
+        found = scratch.cut(dealt.mapInArrow(meet(second), "a long, b long, sure boolean").distinct(), "candidates")
+        open_ = found.filter("not sure").select("a", "b")
+        feats = texts_of(open_.select(F.explode(F.array("a", "b")).alias("shingled"))).mapInArrow(_shingled, "shingled long, feats binary")
+        feats = scratch.cut(feats, "shingles", "zstd")
+        with_a = join_heavy(open_.withColumnRenamed("a", "shingled"), feats, ["shingled"]).select(F.col("shingled").alias("a"), "b", F.col("feats").alias("of_a"))
         both = with_a.join(feats.select(F.col("shingled").alias("b"), F.col("feats").alias("of_b")), "b")
-        links = scratch.cut(both.mapInArrow(_alike(least), "a long, b long"), "alike")
+        links = scratch.cut(found.filter("sure").select("a", "b").unionAll(both.mapInArrow(_alike(least), "a long, b long")), "alike")
         scratch.drop(found, feats)
         return links
 
-    first = verified(banded.withColumn("root", F.lit(0).cast("long")), False)
+    first = met(banded, False)
     so_far = scratch.cut(connected_components(first, scratch), "so-far")
     rooted = banded.join(so_far, banded.shingled == so_far.node, "left").select("shingled", "sig", "band", F.coalesce("root", "shingled").alias("root"))
-    links = first.unionAll(verified(rooted, True))
+    # small buckets were compared in full, and where all have one root nothing is left to find
+    dense = rooted.groupBy("band").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter(f"n > {SMALL} and low <> high")
+    rooted = scratch.cut(join_heavy(scratch.cut(rooted, "rooted"), dense.select("band"), ["band"]), "dense")
+    whole = scratch.cut(texts_of(rooted).mapInArrow(_whole_sets, "shingled long, size long, feats binary"), "whole-sets", "zstd")
+    links = first.unionAll(met(rooted.join(whole, "shingled"), True))
 
     name = lambda kind, c: F.xxhash64(F.lit(kind), F.col(c))
     by_bits = fingerprint_links(described.select("fp").distinct(), 4, scratch)
