@@ -12,13 +12,13 @@ ORACLE_SQL: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Callable], Query]:
-    """Register ``fn(t)``, where ``t(table)`` reads a table of the folder at hand."""
+    """Register ``fn(t)``, where ``t(table)`` reads a table of the folder at hand; other queries build on ``.plan``."""
 
     def register(fn: Callable) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return fn(lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
-        run.__name__, run.__doc__ = name, fn.__doc__
+        run.__name__, run.__doc__, run.plan = name, fn.__doc__, fn
         QUERIES[name] = run
         if sql:
             ORACLE_SQL[name] = sql

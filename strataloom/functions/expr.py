@@ -40,7 +40,12 @@ def clamp_text(text: Column, most: int) -> Column:
 
 def redundancy_tokens(text: Column) -> Column:
     plain = F.regexp_replace(text, r"(?i)^\s*(?:query|passage)\s*:\s*", "")
-    return F.regexp_extract_all(F.lower(split_camel(plain)), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+    return plain_tokens(plain)
+
+
+def plain_tokens(text: Column) -> Column:
+    """Lower-case runs of letters and digits, split where the case changes."""
+    return F.regexp_extract_all(F.lower(split_camel(text)), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
 
 
 def shingles(tokens: Column, width: int = 5) -> Column:

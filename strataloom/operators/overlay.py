@@ -87,3 +87,15 @@ def overlay_violations(overlay: DataFrame, nodes: DataFrame, base: DataFrame, ge
         part = rows.select(*EDGE, F.lit(reason).alias("reason"))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def next_revisions(states: DataFrame, prior: DataFrame, desired: DataFrame) -> DataFrame:
+    """(provider, revision) of ``states``, one more where the distinct rows of a provider differ between prior and desired.
+
+    Both tables have ``provider`` and the same further columns; nulls equal nulls. One shuffle compares all columns at once.
+    """
+    both = prior.withColumn("side", F.lit(1)).unionByName(desired.withColumn("side", F.lit(2)))
+    sides = both.groupBy(*prior.columns).agg(F.min("side").alias("least"), F.max("side").alias("most"))
+    changed = sides.filter("least = most").select("provider").distinct().withColumn("changed", F.lit(1))
+    moved = states.join(changed, "provider", "left")
+    return moved.select("provider", (F.col("revision") + F.coalesce("changed", F.lit(0))).alias("revision"))

@@ -98,3 +98,19 @@ def resolve_aliases(names: DataFrame, aliases: DataFrame, most: int = 8) -> Data
     for _ in range(most):
         walk = walk.join(step, "now", "left").select("name", F.coalesce("next", "now").alias("now"))
     return walk.join(step, "now", "left").select("name", F.when(F.col("next").isNull(), F.col("now")).alias("target"))
+
+
+def resolve_imports(asked: DataFrame, modules: DataFrame, declared: DataFrame, ecosystem: str) -> DataFrame:
+    """(specifier, target, how) of ``asked(specifier)``, by the last part of its path.
+
+    The one module of that name (``modules(name, id)``), else the one declaration (``declared(name, id)``), else an external
+    module, named by the hash of ecosystem and path. A name that several have decides nothing.
+    """
+    parts = F.filter(F.split(F.regexp_replace("specifier", r"::\{.*$", ""), "[./:]"), lambda x: x != "")
+    path = F.lower(F.regexp_replace(F.regexp_replace("specifier", r"\s+as\s+\w+$", ""), r"::\*$", ""))
+    outside = F.sha2(F.concat(F.lit(f"external:{ecosystem}:"), path), 256)
+    names = asked.select("specifier").distinct().withColumn("name", F.coalesce(F.get(parts, F.size(parts) - 1), "specifier"))
+    sole = lambda t, c: t.groupBy("name").agg(F.min("id").alias(c), F.count("*").alias("n")).filter("n = 1").select("name", F.col(c).cast("string"))
+    found = names.join(sole(modules, "m"), "name", "left").join(sole(declared, "d"), "name", "left")
+    how = F.when(F.col("m").isNotNull(), "import").when(F.col("d").isNotNull(), "exact").otherwise("external")
+    return found.select("specifier", F.coalesce("m", "d", outside).alias("target"), how.alias("how"))

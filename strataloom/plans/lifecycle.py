@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strataloom.catalog import query
 from strataloom.functions import expr
-from strataloom.operators import lifecycle, metrics, resolution, search
+from strataloom.operators import lifecycle, metrics, overlay, resolution, search
 
 NOW = "2024-01-20 00:00:00"
 
@@ -310,3 +310,21 @@ def binary_ranking_scores(t):
     d = t("documents").select(F.concat(F.lit("g"), F.col("doc_id") % 20).alias("query_id"), F.concat_ws("/", "source", "lang", "doc_id").alias("item"), "doc_id", "lang")
     ranked = d.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id")))
     return metrics.binary_scores(ranked.select("query_id", "item", "rank"), d.select("query_id", F.concat(F.lit("/"), "lang", F.lit("/")).alias("target")).distinct(), 10)
+
+
+@query("import_resolution", """with a as (select distinct regexp_extract(url, '//([^/?#]+)', 1) as specifier from pages), x as (select specifier, regexp_extract(specifier, '([^./:]+)[./:]*$', 1) as name from a)
+ select specifier, case name when 'org' then '1' when 'com' then '7' else sha256('external:web:' || lower(specifier)) end as target, case name when 'org' then 'import' when 'com' then 'exact' else 'external' end as how from x""")
+def import_resolution(t):
+    """Hosts as paths of modules: one suffix is a module, one a declaration, one has two modules and decides nothing."""
+    pages = t("pages").select(F.regexp_extract("url", "//([^/?#]+)", 1).alias("specifier"))
+    named = lambda rows: pages.sparkSession.createDataFrame(rows, "name string, id long")
+    return resolution.resolve_imports(pages, named([("org", 1), ("net", 2), ("net", 3)]), named([("com", 7), ("org", 8)]), "web")
+
+
+@query("graph_revisions", """with p as (select c_nationkey as provider, c_mktsegment as s, max(c_acctbal) > 0 as held from customer group by 1, 2)
+ select n_nationkey as provider, n_regionkey + coalesce(max(case when not held then 1 end), 0) as revision from nation left join p on provider = n_nationkey group by n_nationkey, n_regionkey""")
+def graph_revisions(t):
+    """Revisions of nations, moved where a segment has customers, but none with a balance above zero."""
+    rows = t("customer").select(F.col("c_nationkey").alias("provider"), "c_mktsegment", "c_acctbal")
+    states = t("nation").select(F.col("n_nationkey").alias("provider"), F.col("n_regionkey").alias("revision"))
+    return overlay.next_revisions(states, rows.filter("c_acctbal > 0").drop("c_acctbal"), rows.drop("c_acctbal"))

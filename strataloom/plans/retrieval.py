@@ -119,6 +119,16 @@ def rrf_per_plane(t):
     return search.rrf(ranked, sources).select("query_id", "grp", "id", F.floor(F.col("relevance") * 1e6 + 0.5).alias("relevance"))
 
 
+@query("representatives", f"""with {_ranked_sql(100)}, src as (select query_id, case when doc_id % 2 = 0 then 'even' else 'odd' end as grp, doc_id as id, rank from ranked),
+ f as (select query_id, grp, id, floor(least(1.0, (1.0::double / (60 + rank)) / (1.0::double / 61)) * 1e6 + 0.5)::bigint as relevance from src)
+ select query_id, grp, id, row_number() over (partition by query_id, grp order by relevance desc, id) as place from f where relevance >= 350000 qualify place <= 2""")
+def representatives(t):
+    """The first two of each request and plane with a relevance of 0.35 or more."""
+    order = Window.partitionBy("query_id", "grp").orderBy(F.desc("relevance"), "id")
+    placed = rrf_per_plane.plan(t).filter("relevance >= 350000").withColumn("place", F.row_number().over(order).cast("long"))
+    return placed.filter("place <= 2").select("query_id", "grp", "id", "place")
+
+
 def _candidates(t):
     sources = _sources(t, [(q, "all", s, 1.0) for q in ("q1", "q2", "q3") for s in ("lexical", "vector")])
     fused = search.rrf(_both_rankings(t).withColumn("grp", F.lit("all")), sources)
@@ -202,12 +212,21 @@ def near_duplicate_pairs(t):
     return similar_pairs(t("documents").select(F.col("doc_id").alias("id"), "lang", "text"), ["lang"])
 
 
-@query("duplicate_waste", """select source, sum(tokens)::bigint as tokens, coalesce(sum(tokens) filter (where place > 1), 0)::bigint as wasted from (select source, greatest(1, ceil(strlen(text) / 3.0))::bigint as tokens,
- row_number() over (partition by source, sha256(text) order by doc_id) as place from documents) group by source""")
+@query("duplicate_waste", """with d as (select doc_id, source, regexp_extract_all(lower(regexp_replace(text, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[\\p{L}\\p{N}]+') as tk from documents),
+ w as (select doc_id, len(tk) as n, unnest(tk) as w, generate_subscripts(tk, 1) as i from d),
+ long as (select doc_id, concat_ws(' ', w, lead(w, 1) over o, lead(w, 2) over o, lead(w, 3) over o, lead(w, 4) over o) as e from w where n >= 5 window o as (partition by doc_id order by i) qualify i <= n - 4),
+ g as (select distinct doc_id, e from (select * from long union all select doc_id, array_to_string(tk, ' ') from d where len(tk) between 1 and 4)),
+ s as (select doc_id, e, count(*) over (partition by doc_id) as size from g),
+ p as (select a.doc_id as later, b.doc_id as earlier from s a join s b on a.e = b.e and b.doc_id < a.doc_id and a.size >= b.size * 0.8 and b.size >= a.size * 0.8
+  group by all having count(*) / (any_value(a.size) + any_value(b.size) - count(*)) >= 0.8),
+ f as (select later, min(earlier) as earlier from p group by 1), u as (select distinct doc_id, w from w),
+ x as (select later, count(*) as shared from f join w on w.doc_id = later join u on u.doc_id = earlier and u.w = w.w group by 1)
+ select source, sum(len(tk))::bigint as tokens, coalesce(sum(shared), 0)::bigint as wasted from d left join x on later = doc_id group by source""")
 def duplicate_waste(t):
-    d = t("documents").select("source", "doc_id", expr.estimated_tokens(F.col("text")).alias("tokens"), F.sha2("text", 256).alias("hash"))
-    d = d.withColumn("place", F.row_number().over(Window.partitionBy("source", "hash").orderBy("doc_id")))
-    return d.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.sum(F.when(F.col("place") > 1, F.col("tokens")).otherwise(0)).alias("wasted"))
+    """Tokens, and those that a text shares with its first earlier near copy in any source."""
+    from strataloom.operators.records import duplicate_waste as waste
+
+    return waste(t("documents").select(F.col("doc_id").alias("id"), "source", "text"), ["source"])
 
 
 @query("recall_ranked", f"""with {BM25_SQL.replace("@HIT@", "tok = term")}, p as (select query_id, doc_id, quality, floor(score * 1e6 + 0.5) as s from bm join labels using (doc_id) where toxic = 0)

@@ -1,7 +1,9 @@
 """Golden cases and differential tests of the operators."""
 
+import hashlib
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -222,3 +224,41 @@ def test_binary_scores_match_a_walk_down_the_ranking(spark):
         gold += [(str(q), x) for x in targets]
     got = metrics.binary_scores(spark.createDataFrame(ranked, "query_id string, item string, rank int"), spark.createDataFrame(gold, "query_id string, target string"), 5)
     assert {r.query_id: (round(r.recall, 5), round(r.ndcg, 5)) for r in got.collect()} == want
+
+
+def test_duplicate_waste_matches_all_earlier_texts(spark):
+    rng = random.Random(8)
+    texts = [None, "", "", "one two", "One  two!"]
+    for _ in range(60):
+        words = (rng.choice(texts[5:]) if len(texts) > 5 and rng.random() < 0.7 else " ".join(rng.choice("abcdef") + str(rng.randrange(40)) for _ in range(rng.choice([4, 60, 120])))).split()
+        if rng.random() < 0.7:
+            words[rng.randrange(len(words))] = "z" + str(rng.randrange(5))
+        texts.append(" ".join(words))
+    df = spark.createDataFrame([(i, i % 3, t) for i, t in enumerate(texts)], "id long, k long, text string")
+    toks = [re.findall(r"[a-z0-9]+", (t or "").lower()) for t in texts]
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} or {tuple(t)} for t in toks]
+    want = {k: [0, 0] for k in range(3)}
+    for i, mine in enumerate(toks):
+        want[i % 3][0] += len(mine)
+        near = next((j for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])), None)
+        want[i % 3][1] += 0 if near is None else sum(t in toks[near] for t in mine)
+    got = {r.k: [r.tokens, r.wasted] for r in records.duplicate_waste(df, ["k"]).collect()}
+    assert got == want and all(w for _, w in want.values())
+    assert records.duplicate_waste(df.limit(0), ["k"]).count() == 0
+
+
+def test_imports_resolve_in_order(spark):
+    asked = spark.createDataFrame([("a.b::m",), ("x.decl",), ("x.twice",), ("os.Path",)], "specifier string")
+    modules = spark.createDataFrame([("m", 1), ("twice", 2), ("twice", 3)], "name string, id long")
+    declared = spark.createDataFrame([("decl", 7), ("m", 8)], "name string, id long")
+    got = {r.specifier: (r.target, r.how) for r in resolution.resolve_imports(asked, modules, declared, "py").collect()}
+    assert got["a.b::m"] == ("1", "import") and got["x.decl"] == ("7", "exact")
+    assert got["x.twice"][1] == got["os.Path"][1] == "external" and got["os.Path"][0] == hashlib.sha256(b"external:py:os.path").hexdigest()
+
+
+def test_revision_moves_only_on_change(spark):
+    prior = spark.createDataFrame([("a", 1, "x"), ("b", 1, None), ("c", 1, "x")], "provider string, id long, v string")
+    want = spark.createDataFrame([("a", 1, "x"), ("a", 1, "x"), ("b", 1, None), ("c", 1, None), ("d", 1, "x")], "provider string, id long, v string")
+    now = spark.createDataFrame([(p, 4) for p in "abcde"], "provider string, revision long")
+    got = {r.provider: r.revision for r in overlay.next_revisions(now, prior, want).collect()}
+    assert got == {"a": 4, "b": 4, "c": 5, "d": 5, "e": 4}
