@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strataloom.llm.heavy import join_heavy
+
 Z = 1.645
 LIMIT = 0.5
 
@@ -113,12 +115,15 @@ def reputations(pages: DataFrame, labels: DataFrame) -> DataFrame:
 def judge(
     pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]], limit: float = LIMIT, id_col: str = "page_id", url_col: str = "url"
 ) -> DataFrame:
-    """page_id, host, path, rule, verdict. ``labels(page_id, bad)`` with bad 0 or 1; ``rules`` are (verdict, rule)."""
+    """page_id, host, path, rule, verdict. ``labels(page_id, bad)`` with bad 0 or 1; ``rules`` are (verdict, rule).
+
+    Pages of a host that holds much of the table are dealt to many tasks.
+    """
     host, path = host_and_path(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     bounds = reputations(rows.select("page_id", "host"), labels).select("host", (F.col("lower") > limit).alias("over"))
     ruled = rows.withColumn("r", longest_rule(F.col("host"), F.col("path"), rules)) if rules else rows.withColumn("r", F.lit(None).cast("struct<length:int,rule:string,verdict:string>"))
-    return ruled.join(bounds, "host", "left").select(
+    return join_heavy(ruled, bounds, ["host"], "left").select(
         "page_id",
         "host",
         "path",

@@ -38,3 +38,12 @@ def test_odd_rows(spark):
     assert got[7] == ("sub.com", "/de/é", "com/de/", "block")
     assert got[8][:3] == ("a.com", "", None)
     assert judge(df.limit(0), labels.limit(0), URL_RULES).count() == 0
+
+
+def test_a_host_with_most_pages(spark):
+    urls = [f"http://big.bad.net/{i}" if i % 4 else f"http://h{i % 50}.fine.net/{i}" for i in range(4000)] + [None] * 1500
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(4000)], "page_id long, bad int")
+    got = {r.page_id: (r.host, r.verdict) for r in judge(pages, labels, []).collect()}
+    assert len(got) == len(urls) and {v for h, v in got.values() if h == "big.bad.net"} == {"block"}
+    assert sum(h == "" for h, _ in got.values()) == 1500 and {v for h, v in got.values() if h.endswith("fine.net")} == {"allow"}
